@@ -1 +1,10 @@
-"""Part of caseloom."""
+"""The registered queries."""
+
+from __future__ import annotations
+
+
+def load() -> tuple[dict, dict]:
+    """(queries, SQL) of all modules here."""
+    from caseloom.plans import registry
+
+    return dict(registry.QUERIES), dict(registry.ORACLES)
