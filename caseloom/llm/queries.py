@@ -43,7 +43,7 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "p2_found": lambda spark, d: conversations.dropped_sessions(spark, f"{d}/session_event.parquet"),
-    "p2_conversations": lambda spark, d: conversations.conversations(spark, f"{d}/session_event.parquet"),
+    "p2_conversations": lambda spark, d: conversations.conversations(spark, f"{d}/session_event.parquet").select("session_id", "turn", "role", F.unix_micros("ts").alias("ts_us"), "text"),
     "p3_found": _scans(scans.scan_noise),
     "p3_text": _scans(scans.paragraphs),
     "p4_found": lambda spark, d: format_copies.copies(read_table(spark, d, "observations")),
@@ -101,7 +101,7 @@ v as (
 
 ORACLES: dict[str, str] = {
     "p2_found": _SESSIONS + "select session_id, verdict from v where verdict is not null",
-    "p2_conversations": _SESSIONS + "select session_id, n as turn, role, ts, text from o where session_id in (select session_id from v where verdict is null)",
+    "p2_conversations": _SESSIONS + "select session_id, n as turn, role, epoch_us(ts) as ts_us, text from o where session_id in (select session_id from v where verdict is null)",
     "p4_found": _COPIES + "select distinct keep_id, obs_id as copy_id from kept where keep_id <> obs_id",
     "p4_records": _COPIES + "select distinct obs_id, coalesce(copies, 1) as copies from observations left join (select distinct obs_id, keep_id, copies from kept) k using (obs_id) where coalesce(keep_id, obs_id) = obs_id",
     "p7_decoded": "select doc_id, md5(coalesce(text, '')) as digest from documents",
