@@ -182,7 +182,7 @@ def _typed(value: Column, kind: Column) -> Column:
         F.when(kind == "float", filled.try_cast("double")).alias("number"),
         F.when(kind == "money", F.when(value != "", money)).alias("amount"),
         F.when(kind == "date", filled.try_cast("date")).alias("day"),
-        F.when(kind == "list", F.filter(F.transform(F.split(filled, ";"), F.trim), lambda x: x != "")).alias("items"),
+        F.when(kind == "list", F.filter(F.transform(F.split(filled, ";"), lambda x: F.trim(x)), lambda x: x != "")).alias("items"),
         F.when(kind.isin("string", "enum"), filled).alias("text"),
     )
 

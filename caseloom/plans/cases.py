@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,14 +13,34 @@ from caseloom.operators import decisions as R
 from caseloom.operators import graphs as G
 from caseloom.operators import structural_csv as S
 from caseloom.operators.decisions import Rule
-from caseloom.plans.registry import query
+from caseloom.plans import registry
 from caseloom.session import read_table
 
 LINE = ["l_orderkey", "l_linenumber", "l_quantity"]
-QTY, PRICE = F.col("l_quantity").cast("bigint"), F.round(F.col("l_extendedprice") * 100).cast("bigint")
 SRC = "(select *, l_quantity::bigint as qty, round(l_extendedprice * 100)::bigint as price from lineitem)"
 
 
+def _bind() -> None:
+    """The columns that the queries below are made of; columns need a running session."""
+    global QTY, PRICE, CODES, _SCORES
+    QTY, PRICE = F.col("l_quantity").cast("bigint"), F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    CODES = {"MANY": QTY > 40, "DEAR": PRICE > 6000000, "RETURNED": F.col("l_returnflag") == "R"}
+    _SCORES = [QTY % 5 + 1, PRICE % 5 + 1, F.col("l_partkey") % 5 + 1, F.when(F.col("l_suppkey") % 9 > 0, F.col("l_suppkey") % 5 + 1)]
+
+
+def query(name: str, sql: str | None = None) -> Callable[[registry.Query], registry.Query]:
+    """Registers a query that starts with its columns bound."""
+
+    def put(run: registry.Query) -> registry.Query:
+        def bound(spark: SparkSession, d: str) -> DataFrame:
+            _bind()
+            return run(spark, d)
+
+        return registry.query(name, sql)(bound)
+
+    return put
+
+
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "lineitem")
 
@@ -100,7 +122,6 @@ def d_15(spark: SparkSession, d: str) -> DataFrame:
     return _lines(spark, d).select(*LINE, N.within_share(PRICE, QTY * 150000, 1, 10).alias("near"))
 
 
-CODES = {"MANY": QTY > 40, "DEAR": PRICE > 6000000, "RETURNED": F.col("l_returnflag") == "R"}
 CODES_SQL = "concat_ws(',', case when qty > 40 then 'MANY' end, case when price > 6000000 then 'DEAR' end, case when l_returnflag = 'R' then 'RETURNED' end)"
 
 
@@ -355,7 +376,6 @@ def k_14(spark: SparkSession, d: str) -> DataFrame:
     return links.select(F.col("dst").alias("name")).join(links.select(F.col("src").alias("name")), "name", "left_semi").distinct()
 
 
-_SCORES = [QTY % 5 + 1, PRICE % 5 + 1, F.col("l_partkey") % 5 + 1, F.when(F.col("l_suppkey") % 9 > 0, F.col("l_suppkey") % 5 + 1)]
 SCORES = "case when l_suppkey % 9 = 0 then 'unscored' when qty % 5 + 1 <= 2 or price % 5 + 1 <= 2 then 'uncertain' when l_partkey % 5 + 1 >= 4 or l_suppkey % 5 + 1 >= 4 then 'complex' else 'verified' end"
 
 
