@@ -321,3 +321,12 @@ def g_03(spark: SparkSession, d: str) -> DataFrame:
 @query("g_04", r"""select module, pos, regexp_replace(regexp_replace(regexp_replace(lower(trim(description)), '^(determine|assess|compute|evaluate|calculate)\s+', ''), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') as name from field_spec where description is not null""")
 def g_04(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "field_spec").where("description is not null").select("module", "pos", C.snake(F.col("description")).alias("name"))
+
+
+@query("e_15", EV + """select sid as session_id, epoch_us(time_bucket(interval 10 minutes, ts)) as window_us, sum((type = 'user_prompt')::int)::bigint as prompts, sum((type = 'assistant_response')::int)::bigint as responses, sum((type = 'ai_question')::int)::bigint as questions
+  from ev where type in ('user_prompt', 'assistant_response', 'ai_question') group by all""")
+def e_15(spark: SparkSession, d: str) -> DataFrame:
+    """Activity by session and ten minutes; the same expression runs on a stream."""
+    from caseloom.streaming.activity import activity
+
+    return activity(_events(spark, d)).select("session_id", F.unix_micros("window_start").alias("window_us"), "prompts", "responses", "questions")
