@@ -19,7 +19,7 @@ def _scans(run: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     judged = shape.classify(read_table(spark, d, "parse_result"), read_table(spark, d, "shape_sample"))
-    return judged.where("shape <> 'prose'").select("result_id", "shape")
+    return shape.only(judged, *[s for s in shape.SHAPES if s != "prose"]).select("result_id", "shape")
 
 
 def p5_quality(spark: SparkSession, d: str) -> DataFrame:

@@ -31,15 +31,16 @@ _VOWEL = "aeiouyáéíóúüâêîôûàèùëïöäæœãõåø"
 #: A token that reads as a word (in Latin script: with vowels, without capitals inside or long runs of
 #: consonants; in other scripts: letters), as a number, date or amount, as a short code or as an address.
 READABLE = (
-    rf"(?U)^(?=.*[{_VOWEL}{_VOWEL.upper()}])(?!.*[bcdfghjklmnpqrstvwxz]{{6}})(\p{{Lu}}?\p{{Ll}}+|\p{{Lu}}+|\p{{Lu}}?\p{{Ll}}+([-'’­‐]\p{{L}}?\p{{Ll}}*)+)$"
-    r"|^[\p{L}&&[^\p{IsLatin}]][\p{L}\p{M}\p{N}&&[^\p{IsLatin}]]*$"
-    r"|^[-+~]?[$€£]?[0-9][0-9,.:/-]*%?$|^[A-Z]{1,3}-?[0-9]{1,6}[A-Z]?$|^[A-Z]{2,4}$|^https?:|^[A-Za-z][)]$"
+    rf" (?:(?=[^ ]*[{_VOWEL}{_VOWEL.upper()}])(?![^ ]*[bcdfghjklmnpqrstvwxz]{{6}})(?:\p{{Lu}}?\p{{Ll}}+(?:[-'’­‐]\p{{L}}?\p{{Ll}}*)*|\p{{Lu}}+)"
+    r"|[\p{L}&&[^\p{IsLatin}]][\p{L}\p{M}\p{N}&&[^\p{IsLatin}]]*"
+    r"|[-+~]?[$€£]?[0-9][0-9,.:/-]*%?|[A-Z]{1,3}-?[0-9]{1,6}[A-Z]?|[A-Z]{2,4}|https?:[^ ]*|[A-Za-z][)])(?= )"
 )
 #: What parts words from each other besides white space, and what stands around them. Numbers of one or two
 #: digits are left out: they tell nothing about whether a text can be read.
-BETWEEN = r"(?U)<[^<>]{0,200}>|\]\(|[|,;\s]+|(?<=\s)\W{1,3}(?=\s)"
-AROUND = r"(?U)^[\p{Ps}\p{Pi}\"'*_#¿¡.:-]+|(?<!\b[A-Za-z])[\p{Pe}\p{Pf}\"'*_.:!?…#-]+$"
-SMALL_NUMBER = r"^[0-9]{0,2}$"
+_SPACE = "\\t-\\r\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+BETWEEN = rf"<[^<>]{{0,200}}>|\]\(|[|,;{_SPACE}]+| [^\p{{L}}\p{{N}}\p{{M}} ]{{1,3}}(?= )"
+AROUND = r" [\p{Ps}\p{Pi}\"'*_#¿¡.:-]+|(?<! [A-Za-z])[\p{Pe}\p{Pf}\"'*_.:!?…#-]+(?= )"
+SMALL_NUMBER = r" [0-9]{1,2}(?= )"
 
 MARKED = r"^\s*([-*+•‣▪◦·–—]\s|\(?([0-9]{1,3}|[A-Za-z]|[ivxIVX]{1,5})[.)]\s|[☐☑✓✔➢➤→]\s?)\s*\S"
 LINKED = r"^\s*([-*+•]\s*)?(\[[^\]]*\]\([^)]*\)|https?://\S+)\s*$"
@@ -48,6 +49,8 @@ CELLS = (
     r"<t[dhr][ >]|^\s*\|.*\|\s*$|\S\s*\|\s*\S.*\|\s*\S|\S\t+\S|\S {3,}\S.*\S {3,}\S|^\S+( \S+){0,5} {3,}\S+( \S+){0,5}$"
     r"|^[^,\s][^,]{0,50}(,[^,\s][^,]{0,50}){2,}$|^[^;]{1,60}(;[^;]{0,60}){2,}$|^[\s|+:=-]*-{3,}[\s|+:=-]*$"
 )
+#: A line without any of these is no row of cells.
+CELL_MARKS = r"[|\t;]|<t| {3}|,\S|--"
 ENDS = r"[.!?:;…。！？]['\"”’»)\]]*\s*$"
 
 FEATURES = ("readable_share", "cell_share", "entry_share", "common_share", "closed_share", "symbol_ratio", "mean_word_length")
@@ -66,18 +69,20 @@ def figures(documents: DataFrame, text: str = "markdown") -> DataFrame:
     """
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"(?U)\S"))
-    tokens = F.filter(F.transform(F.split(F.regexp_replace(t, BETWEEN, " "), r"(?U)\s+"), lambda x: F.regexp_replace(x, AROUND, "")), lambda x: ~x.rlike(SMALL_NUMBER))
+    spaced = F.regexp_replace(F.regexp_replace(F.concat(F.lit(" "), t, F.lit(" ")), BETWEEN, " "), AROUND, " ")
+    tokens = F.filter(F.split(F.regexp_replace("__spaced", SMALL_NUMBER, " "), " "), lambda x: x != "")
     words = F.filter("__tokens", lambda x: x.rlike(r"\p{L}"))
     entry = lambda x: (
         x.rlike(MARKED) | x.rlike(LINKED) | ((F.size(F.split(F.trim(x), r"\s+")) <= 6) & ~x.rlike(r"[.?!,;\-¬­‐]\s*$"))
     )
     prior = lambda c: F.concat(F.array(F.lit("")), F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0))))
     solid = F.length(F.regexp_replace(t, r"(?U)\s+", ""))
-    base = documents.withColumns({"__lines": lines, "__tokens": tokens}).withColumns(
+    repeats = F.size(F.filter(F.zip_with("__tokens", prior(F.col("__tokens")), lambda x, p: x == p), lambda x: x))
+    base = documents.withColumns({"__lines": lines, "__spaced": spaced}).withColumn("__tokens", tokens).withColumns(
         {
             "__words": words,
             "__body": F.filter("__lines", lambda x: ~x.rlike(HEADING)),
-            "__readable": F.size(F.filter(F.zip_with("__tokens", prior(F.col("__tokens")), lambda x, p: x.rlike(READABLE) & (x != p)), lambda x: x)),
+            "__readable": F.greatest(F.regexp_count("__spaced", F.lit(READABLE)) - F.regexp_count("__spaced", F.lit(SMALL_NUMBER)) - repeats, F.lit(0)),
         }
     )
     body = F.size("__body")
@@ -89,12 +94,12 @@ def figures(documents: DataFrame, text: str = "markdown") -> DataFrame:
             "closed_share": _share(F.size(F.filter("__lines", lambda x: x.rlike(ENDS))), F.size("__lines")),
             "common_share": _share(F.size(F.filter("__words", lambda w: F.lower(w).isin(*COMMON_WORDS))), F.size("__words")),
             "readable_share": F.when(F.size("__words") == 0, 0.0).otherwise(_share(F.col("__readable"), F.size("__tokens"))),
-            "cell_share": _share(F.size(F.filter("__body", lambda x: x.rlike(CELLS))), body),
+            "cell_share": _share(F.size(F.filter("__body", lambda x: x.rlike(CELL_MARKS) & x.rlike(CELLS))), body),
             "entry_share": _share(F.size(F.filter("__body", entry)), body),
             "size_bytes": F.octet_length(t).cast("bigint"),
         }
     )
-    return out.drop("__lines", "__tokens", "__words", "__body", "__readable")
+    return out.drop("__lines", "__spaced", "__tokens", "__words", "__body", "__readable")
 
 
 @dataclass
@@ -183,6 +188,16 @@ def classify(documents: DataFrame, samples: DataFrame) -> DataFrame:
     return figures(documents).withColumn("shape", F.expr(case_sql(learn(samples))))
 
 
+def only(judged: DataFrame, *shapes: str) -> DataFrame:
+    """The rows of these shapes.
+
+    A filter is moved below what it filters on, and there each mention of shape would work out all figures anew.
+    It stays above a column that must not be worked out twice, such as a row number.
+    """
+    kept = judged.withColumn("__row", F.monotonically_increasing_id()).where(F.col("shape").isin(*shapes) & (F.col("__row") >= 0))
+    return kept.drop("__row")
+
+
 def quality(parse_result: DataFrame, conversion_diagnostics: DataFrame, samples: DataFrame) -> DataFrame:
     """Figures, shape and true size of each result beside the size its latest conversion states.
 
