@@ -417,3 +417,29 @@ def k_26(spark: SparkSession, d: str) -> DataFrame:
     """A report's lines."""
     sums = _lines(spark, d).groupBy(G.bucket(*_SCORES).alias("bucket")).agg(F.count("*").alias("n"), F.sum(QTY).alias("q"))
     return sums.select(F.concat("bucket", F.lit(": "), F.col("n").cast("string"), F.lit(" items, "), F.col("q").cast("string"), F.lit(" pieces")).alias("line"))
+
+
+@query("v_06", DEFS + r"select kind, count(*) as lines, count(*) filter (regexp_matches(name, '^[a-z][a-z0-9_]*$') and regexp_matches(body, '^equals \S')) as assignments from defs group by kind")
+def v_06(spark: SparkSession, d: str) -> DataFrame:
+    """How many lines of each kind are assignments to a name in snake case."""
+    fits = F.col("name").rlike("^[a-z][a-z0-9_]*$") & F.col("body").rlike(r"^equals \S")
+    return _defs(spark, d).groupBy("kind").agg(F.count("*").alias("lines"), F.sum(fits.cast("int")).cast("bigint").alias("assignments"))
+
+
+@query("k_12", DEFS + r"""select doc_id, count(*) as lines, sum(length(regexp_replace(regexp_replace(body, '"[^"]*"|\$[0-9][0-9,.]*|[0-9.]+%', ' ', 'g'), '\s+', ' ', 'g')))::bigint as left_chars from defs group by doc_id""")
+def k_12(spark: SparkSession, d: str) -> DataFrame:
+    """Rule lines without their literals."""
+    bare = F.regexp_replace(F.regexp_replace("body", r'"[^"]*"|\$[0-9][0-9,.]*|[0-9.]+%', " "), r"\s+", " ")
+    return _defs(spark, d).groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(F.length(bare)).cast("bigint").alias("left_chars"))
+
+
+@query("k_23", r"""with n as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) as i, unnest(string_split(text, chr(10))) as line from documents where contains(text, '```')),
+f as (select *, regexp_matches(line, '^```') as fence, sum(case when regexp_matches(line, '^```') then 1 else 0 end) over (partition by doc_id order by i) as n from n)
+select doc_id, ((n + 1) // 2)::bigint as block, coalesce(max(case when fence and n % 2 = 1 then regexp_extract(line, '^```\s*(\w*)', 1) end), '') as kind, count(*) filter (not fence) as lines from f where n % 2 = 1 group by all""")
+def k_23(spark: SparkSession, d: str) -> DataFrame:
+    """Fenced blocks with their kind; one that is not closed runs to the end."""
+    lines = read_table(spark, d, "documents").where(F.contains("text", F.lit("```"))).select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    fence = F.col("line").rlike("^```")
+    marked = lines.withColumns({"fence": fence, "n": F.sum(fence.cast("int")).over(Window.partitionBy("doc_id").orderBy("at"))}).where("n % 2 = 1")
+    kind = F.max(F.when(F.col("fence"), F.regexp_extract("line", r"^```\s*(\w*)", 1)))
+    return marked.groupBy("doc_id", F.expr("(n + 1) div 2").alias("block")).agg(F.coalesce(kind, F.lit("")).alias("kind"), F.sum((~F.col("fence")).cast("int")).cast("bigint").alias("lines"))

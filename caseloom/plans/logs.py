@@ -330,3 +330,41 @@ def e_15(spark: SparkSession, d: str) -> DataFrame:
     from caseloom.streaming.activity import activity
 
     return activity(_events(spark, d)).select("session_id", F.unix_micros("window_start").alias("window_us"), "prompts", "responses", "questions")
+
+
+@query("m_11", """with o as (select entry_name, policy_phrase, source_doc, section from observations where entry_name is not null group by all)
+select entry_name, count(*) as observations, md5(string_agg(coalesce(source_doc, '~') || '|' || coalesce(section, '~') || '|' || coalesce(policy_phrase, '~'), chr(10) order by coalesce(source_doc, '~') collate C, coalesce(section, '~') collate C, coalesce(policy_phrase, '~') collate C)) as digest from o group by 1""")
+def m_11(spark: SparkSession, d: str) -> DataFrame:
+    """Each name's observations over all documents, walked in order of document and section."""
+    rows = read_table(spark, d, "observations").where("entry_name is not null").select("entry_name", "policy_phrase", "source_doc", "section").distinct()
+    tilde = lambda c: F.coalesce(F.col(c), F.lit("~"))
+    walked = F.array_sort(F.collect_list(F.struct(tilde("source_doc").alias("a"), tilde("section").alias("b"), tilde("policy_phrase").alias("c"))))
+    text = F.array_join(F.transform(walked, lambda x: F.concat_ws("|", x["a"], x["b"], x["c"])), "\n")
+    return rows.groupBy("entry_name").agg(F.count("*").alias("observations"), F.md5(text).alias("digest"))
+
+
+@query("f_06", LISTED + "select 1::int as rank, x.path, row_number() over (order by x.path) as place from x left join l on l.path = x.path where l.sha is null or l.sha <> x.sha")
+def f_06(spark: SparkSession, d: str) -> DataFrame:
+    """Drift in the order of a report; ranges of paths are numbered on their own and then put together."""
+    from caseloom.operators.ranking import numbered
+
+    ranks = F.create_map(*[F.lit(x) for i, t in enumerate(H.TIERS) for x in (t, i)])
+    rows = f_03(spark, d).select(F.element_at(ranks, F.col("tier")).alias("rank"), "path")
+    return numbered(rows, ["rank"], ["path"], "place").select("rank", "path", (F.col("place") + 1).alias("place"))
+
+
+@query("f_11", "select source as src, arg_max(cleanup_applied, diag_id) as status from conversion_diagnostics where source is not null and cleanup_applied is not null group by 1")
+def f_11(spark: SparkSession, d: str) -> DataFrame:
+    """The last marker of each source."""
+    rows = read_table(spark, d, "conversion_diagnostics").where("source is not null and cleanup_applied is not null")
+    return rows.groupBy(F.col("source").alias("src")).agg(F.max_by("cleanup_applied", "diag_id").alias("status"))
+
+
+@query("f_16", LISTED + "select count(*) filter (l.sha is null) as missing, count(*) filter (l.sha <> x.sha) as drifted, count(*) filter (l.sha is null or l.sha <> x.sha) = 0 as may_go_on from x left join l on l.path = x.path")
+def f_16(spark: SparkSession, d: str) -> DataFrame:
+    """What keeps a run from going on."""
+    now, index, _ = _listing(spark, d)
+    both = index.join(now.withColumnRenamed("sha", "now"), "path", "left")
+    n = lambda c: F.coalesce(F.sum(c.cast("int")), F.lit(0)).cast("bigint")
+    gone, other = F.col("now").isNull(), F.coalesce(F.col("now") != F.col("sha"), F.lit(False))
+    return both.agg(n(gone).alias("missing"), n(other).alias("drifted"), (n(gone | other) == 0).alias("may_go_on"))

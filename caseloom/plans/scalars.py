@@ -172,3 +172,12 @@ def p_11(spark: SparkSession, d: str) -> DataFrame:
     rows = read_table(spark, d, "orders").groupBy("o_custkey").agg(came.alias("came"))
     pairs = F.transform("came", lambda o: F.struct(F.struct(o["o_orderdate"].alias("begin"), o["o_orderdate"].alias("end")).alias("p"), o["o_orderkey"].alias("x")))
     return rows.select("o_custkey", F.array_join(F.transform(D.sort_by_begin(pairs), lambda x: x["x"].cast("string")), ",").alias("order_"))
+
+
+scalar("a_13", "lineitem", LINE, {"rounded": (lambda: F.round(F.col("l_quantity").cast("decimal(20,2)") / 4, 0).cast("double"), f"({half('qty', '4')})::double")})
+scalar("a_15", "lineitem", LINE, {"units": (lambda: N.mul_round(PRICE, 1, 100), half("price", "100")), "half_of": (lambda: N.mul_round(PRICE, F.split(F.lit("1/2"), "/")[0].cast("bigint"), F.split(F.lit("1/2"), "/")[1].cast("bigint")), half("price", "2"))})
+scalar("a_21", "lineitem", LINE, {"twice": (lambda: (lambda x: x + x)(PRICE - QTY), "2 * (price - qty)")})
+scalar("d_06", "lineitem", LINE, {"v": (lambda: F.when((F.col("l_returnflag") != "N") & (QTY > 10), "large").when((F.col("l_returnflag") != "N") & (QTY <= 10), "small"), "case when l_returnflag <> 'N' then case when qty > 10 then 'large' else 'small' end end")})
+scalar("d_09", "lineitem", LINE, {"v": (lambda: F.when(QTY > 0, QTY).otherwise(F.raise_error(F.lit("impossible")).cast("bigint")), "qty")})
+scalar("l_21", "lineitem", LINE, {"only": (lambda: F.when(F.size(F.filter(_BAG, lambda x: x == QTY)) == 1, QTY), f"case when len(list_filter({_SBAG}, lambda x: x = qty)) = 1 then qty end")})
+scalar("c_23", "orders", ORDER, {"same": (lambda: F.abs(F.col("o_totalprice") - F.round(F.col("o_totalprice"), 0)) <= 0.005, "abs(o_totalprice - round(o_totalprice, 0)) <= 0.005")})
