@@ -73,23 +73,26 @@ def radix_buckets(entries: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFra
     and the same key are left there then, one for each batch.
     """
     data = F.col("key").cast("binary")
-    undecided, bucket, depth = entries.withColumn("bucket", F.substring(data, 1, 1)), None, 1
-    decided = []
-    while True:
-        large = materialize(undecided.where(F.length(data) > depth).groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows).select("bucket"), "large")
-        if depth >= DEEPEST or large.isEmpty():
-            decided.append(undecided)
+    prefix = lambda d: F.substring(data, 1, d)
+    levels: list[tuple[int, DataFrame]] = []
+    depth = 1
+    while depth <= DEEPEST:
+        # a prefix is too large only below one that is
+        left = entries.withColumn("above", prefix(levels[-1][0])).join(F.broadcast(levels[-1][1].withColumnRenamed("prefix", "above")), "above", "left_semi") if levels else entries
+        sizes = left.where(F.length(data) > depth).groupBy(prefix(depth).alias("prefix")).agg(F.count("*").alias("n"))
+        large = materialize(sizes.where(F.col("n") > bucket_rows).select("prefix"), "large")
+        if large.isEmpty():
             break
-        longer = F.length(data) > depth
-        tagged = undecided.join(F.broadcast(large.withColumn("split", F.lit(True))), "bucket", "left").withColumn("split", F.coalesce(F.col("split") & longer, F.lit(False)))
-        decided.append(tagged.where("not split").drop("split"))
-        step = 1 if depth < 8 else depth // 2
-        depth += step
-        undecided = tagged.where("split").drop("split").withColumn("bucket", F.substring(data, 1, depth))
-    out = decided[0]
-    for d in decided[1:]:
-        out = out.unionByName(d)
-    return out
+        levels.append((depth, large))
+        depth += 1 if depth < 8 else depth // 2
+    out, bucket = entries, None
+    for at, large in levels:
+        flagged = large.select(F.col("prefix").alias(f"prefix_{at}"), F.lit(True).alias(f"split_{at}"))
+        out = out.withColumn(f"prefix_{at}", prefix(at)).join(F.broadcast(flagged), f"prefix_{at}", "left")
+        fits = F.col(f"split_{at}").isNull() | (F.length(data) <= at)
+        bucket = F.when(fits, prefix(at)) if bucket is None else bucket.when(fits, prefix(at))
+    last = prefix(depth)
+    return out.select(*entries.columns, (last if bucket is None else bucket.otherwise(last)).alias("bucket"))
 
 
 def copy_groups(keyed: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
