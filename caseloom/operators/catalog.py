@@ -121,3 +121,26 @@ def assignment(hint: Column) -> Column:
 def newest_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+def renamed_entry(synonyms: Column, prior_name: Column) -> Column:
+    """The synonyms of an entry that had another name, that name among them; the same again when repeated."""
+    return F.array_distinct(F.concat(F.coalesce(synonyms, F.array().cast("array<string>")), F.when(prior_name.isNotNull(), F.array(prior_name)).otherwise(F.array().cast("array<string>"))))
+
+
+def propagate(changed: DataFrame, depends_on: DataFrame, rounds: int = 100) -> DataFrame:
+    """(name, distance): what is changed, or depends on it over any number of (name, needs) steps; the least distance.
+
+    Each round is a join with what was reached last, written so that the plan stays short.
+    """
+    from caseloom.session import materialize
+
+    reached = materialize(changed.select("name").distinct().withColumn("distance", F.lit(0)), "reached")
+    fresh, out = reached, reached
+    for step in range(1, rounds + 1):
+        onward = depends_on.join(fresh.select(F.col("name").alias("needs")), "needs").select("name").distinct()
+        fresh = materialize(onward.join(out.select("name"), "name", "left_anti").withColumn("distance", F.lit(step)), "reached")
+        if fresh.isEmpty():
+            break
+        out = out.unionByName(fresh)
+    return out

@@ -443,3 +443,40 @@ def k_23(spark: SparkSession, d: str) -> DataFrame:
     marked = lines.withColumns({"fence": fence, "n": F.sum(fence.cast("int")).over(Window.partitionBy("doc_id").orderBy("at"))}).where("n % 2 = 1")
     kind = F.max(F.when(F.col("fence"), F.regexp_extract("line", r"^```\s*(\w*)", 1)))
     return marked.groupBy("doc_id", F.expr("(n + 1) div 2").alias("block")).agg(F.coalesce(kind, F.lit("")).alias("kind"), F.sum((~F.col("fence")).cast("int")).cast("bigint").alias("lines"))
+
+
+@query("f_14")
+def f_14(spark: SparkSession, d: str) -> DataFrame:
+    """Names that change when the rarest name does, and over how many steps."""
+    from caseloom.operators import catalog
+
+    links = G.edges(_defs(spark, d))
+    rarest = links.groupBy(F.col("src").alias("name")).agg(F.sum("uses").alias("n")).orderBy("n", "name").limit(1)
+    return catalog.propagate(rarest.select("name"), links.select(F.col("dst").alias("name"), F.col("src").alias("needs")))
+
+
+@query("m_06", """with e as (select domain, entry_section, policy_phrase, list_sort(list_distinct(list(entry_name))) as names from observations where entry_name is not null and policy_phrase is not null group by all)
+select domain, entry_section, policy_phrase, array_to_string(list_sort(list_distinct(list_append(names, lower(names[1])))), ',') as synonyms from e""")
+def m_06(spark: SparkSession, d: str) -> DataFrame:
+    """All names that one phrase of a section goes by, a prior name among them."""
+    from caseloom.operators import catalog
+
+    rows = read_table(spark, d, "observations").where("entry_name is not null and policy_phrase is not null").groupBy("domain", "entry_section", "policy_phrase").agg(F.array_sort(F.collect_set("entry_name")).alias("names"))
+    return rows.select("domain", "entry_section", "policy_phrase", F.array_join(F.array_sort(catalog.renamed_entry(F.col("names"), F.lower(F.get("names", F.lit(0))))), ",").alias("synonyms"))
+
+
+@query("k_17", DEFS + """select doc_id, case when bool_and(body like 'equals %') then 'computed_only' else 'needs_source' end as class, case when count(*) filter (name in (select column_name from field_spec)) > 0 then 'high' else 'low' end as priority from defs group by doc_id""")
+def k_17(spark: SparkSession, d: str) -> DataFrame:
+    """Rule documents by whether all of it is computed, and whether it defines a declared column."""
+    known = read_table(spark, d, "field_spec").select(F.col("column_name").alias("name")).distinct().withColumn("known", F.lit(1))
+    rows = _defs(spark, d).join(known, "name", "left")
+    computed = F.min(F.col("body").startswith("equals "))
+    return rows.groupBy("doc_id").agg(F.when(computed, "computed_only").otherwise("needs_source").alias("class"), F.when(F.count("known") > 0, "high").otherwise("low").alias("priority"))
+
+
+@query("k_07", DEFS + """, t as (select doc_id, count(*) as n, count(*) filter (kind = 'assertion') as a from defs group by doc_id)
+select doc_id, case when a * 2 > n then 'regenerate' else 'repair' end as action from t""")
+def k_07(spark: SparkSession, d: str) -> DataFrame:
+    """Documents so full of one kind of line that they are made anew rather than mended."""
+    rows = _defs(spark, d).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum((F.col("kind") == "assertion").cast("int")).alias("a"))
+    return rows.select("doc_id", F.when(F.col("a") * 2 > F.col("n"), "regenerate").otherwise("repair").alias("action"))
