@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseloom.llm.shape import classify
+from caseloom.llm.shape import classify, only
 from caseloom.session import materialize
 
 #: A form this many times rarer than the frequent form of its skeleton is a misread one; forms in between are
@@ -211,7 +211,7 @@ def cut_words(text: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def _parts(results: DataFrame, samples: DataFrame) -> tuple[DataFrame, ...]:
-    prose = classify(results, samples).where("shape = 'prose'").select("result_id", "markdown", "page_count")
+    prose = only(classify(results, samples), "prose").select("result_id", "markdown", "page_count")
     lines = materialize(scan_lines(prose), "scan-lines")
     text = materialize(text_lines(lines), "scan-text")
     words = inner_words(text)
