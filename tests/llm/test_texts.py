@@ -216,8 +216,8 @@ def test_scans_of_nothing(spark):
 # ---------------------------------------------------------------- residue
 
 
-HELD = ["Dear {{name}}, your case is due.", "Amount: ${amount} is paid.", "Dear <<client>>,", "Case: [TBD: date]", "Paid on XX/XX/XXXX.", "Dear undefined, hello.", "# A\n\nReal text about income rules.\n\nSection to be written.", "asdf asdf asdf asdf asdf", "404 Not Found\n\nThe requested address /x/1 could not be served.", "Menu\nPlease enable JavaScript to view this page.", "You must log in to see this page.", '{"error": {"code": 500, "message": "Internal Server Error"}}', "Page introuvable.", "This is a sample document. This is a sample document."]
-CLEAN = ["Writers leave \"{{name}}\" in a draft.", "The code `${amount}` stands for a value.", "```rules\nscope X:\n  definition a equals { min: 0, max: 3 }\n```", "If a document is not found in the archive, the reviewer asks the county that sent it for a copy.", "Budget [see section 3.4] and household <A1E> are listed.", "The case export holds {\"type\": \"H2S\"} and [notes](a/b.md).", "Of 30% sampled files, 4 were kept.", "Request denied. Questions about the income are sent to the caretaker, who answers at application.", "a<|endoftext|>b", "Short.", "", " ", "Please enable JavaScript to view this page.\n\n" + "The household reports its income to the county office within ten days. " * 4]
+HELD = ["Dear {{name}}, your case is due.", "Amount: ${amount} is paid.", "Dear <<client>>,", "Case: [TBD: date]", "Paid on XX/XX/XXXX.", "Dear undefined, hello.", "# A\n\nReal text about income rules.\n\nSection to be written.", "asdf asdf asdf asdf asdf", "404 Not Found\n\nThe requested address /x/1 could not be served.", "Menu\nPlease enable JavaScript to view this page.", "You must log in to see this page.", '{"error": {"code": 500, "message": "Internal Server Error"}}', "Page introuvable.", "Sorry, this content is no longer available.", "(this page intentionally left blank)", "Hmm... we can't find what you were looking for. Try again later.", "This is a sample document. This is a sample document."]
+CLEAN = ["Writers leave \"{{name}}\" in a draft.", "The code `${amount}` stands for a value.", "```rules\nscope X:\n  definition a equals { min: 0, max: 3 }\n```", "If a document is not found in the archive, the reviewer asks the county that sent it for a copy.", "Budget [see section 3.4] and household <A1E> are listed.", "The case export holds {\"type\": \"H2S\"} and [notes](a/b.md).", "Of 30% sampled files, 4 were kept.", "Request denied. Questions about the income are sent to the caretaker, who answers at application.", "a<|endoftext|>b", "Short.", "An internal server error during the interview is not a failure to cooperate.", "", " ", "Please enable JavaScript to view this page.\n\n" + "The household reports its income to the county office within ten days. " * 4]
 
 
 def test_residue(spark):
