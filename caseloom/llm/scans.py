@@ -84,6 +84,8 @@ def furniture(lines: DataFrame) -> DataFrame:
         .where((F.length("t").between(1, 80)) & ~F.col("t").rlike(SECTION) & ~F.col("t").rlike(LISTED) & ~F.col("t").rlike(AMOUNT) & ~F.col("t").rlike(r"[.,;:?!]$") & ~F.col("t").rlike(rf"[{CUT}]$(?<!\s-)"))
         .where(F.col("t").rlike(r"^[\p{Lu}0-9\[(#–—•|-]|^[ivxlIO|]+$|^[lIoO|sSbB0-9]+$") & (F.size(F.split("t", r"\s+")) <= 9))
     )
+    # few lines are left, and several ways of looking at them follow
+    short = materialize(short.select("doc", "pages", "line_no", "t"), "scan-short")
     value = F.regexp_extract("t", rf"^(?:[-–—]\s*|\[)?([{DIGITLIKE}]+|[ivxl]+)(?:\s*[-–—]|\])?$", 1)
     style = (
         F.when(F.col("t").rlike(rf"^[-–—]\s*[{DIGITLIKE}]+\s*[-–—]$"), "dashed")
