@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,19 +131,20 @@ def renamed_entry(synonyms: Column, prior_name: Column) -> Column:
     return F.array_distinct(F.concat(F.coalesce(synonyms, F.array().cast("array<string>")), F.when(prior_name.isNotNull(), F.array(prior_name)).otherwise(F.array().cast("array<string>"))))
 
 
-def propagate(changed: DataFrame, depends_on: DataFrame, rounds: int = 100) -> DataFrame:
+def propagate(changed: DataFrame, depends_on: DataFrame) -> DataFrame:
     """(name, distance): what is changed, or depends on it over any number of (name, needs) steps; the least distance.
 
-    Each round is a join with what was reached last, written so that the plan stays short.
+    Each round is a join with what was reached last, written so that the plan stays short; the last one finds nothing new.
     """
+    from caseloom.operators.graphs import folded
     from caseloom.session import materialize
 
     reached = materialize(changed.select("name").distinct().withColumn("distance", F.lit(0)), "reached")
-    fresh, out = reached, reached
-    for step in range(1, rounds + 1):
+    fresh, parts = reached, [reached]
+    for step in count(1):
+        out = reduce(DataFrame.unionByName, parts)
         onward = depends_on.join(fresh.select(F.col("name").alias("needs")), "needs").select("name").distinct()
         fresh = materialize(onward.join(out.select("name"), "name", "left_anti").withColumn("distance", F.lit(step)), "reached")
         if fresh.isEmpty():
-            break
-        out = out.unionByName(fresh)
-    return out
+            return out
+        parts = folded([*parts, fresh], "reached")

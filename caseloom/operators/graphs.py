@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +27,10 @@ def names_in(text: Column) -> Column:
     return F.array_distinct(F.array_except(words, F.array(*map(F.lit, KEYWORDS))))
 
 
-def edges(defined: DataFrame) -> DataFrame:
-    """(src, dst, uses): dst is defined from src so many times."""
-    return defined.select(F.explode(names_in(F.col("body"))).alias("src"), F.col("name").alias("dst")).where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("uses"))
+def edges(defined: DataFrame, loops: bool = False) -> DataFrame:
+    """(src, dst, uses): dst is defined from src so many times; names defined from themselves only with loops."""
+    uses = defined.select(F.explode(names_in(F.col("body"))).alias("src"), F.col("name").alias("dst"))
+    return (uses if loops else uses.where("src <> dst")).groupBy("src", "dst").agg(F.count("*").alias("uses"))
 
 
 def degrees(links: DataFrame) -> DataFrame:
@@ -36,28 +40,30 @@ def degrees(links: DataFrame) -> DataFrame:
     return sums.withColumn("class", F.when(F.col("ins") == 0, "input").when(F.col("outs") == 0, "output").otherwise("intermediate"))
 
 
-def topological(links: DataFrame, rounds: int = 1000) -> DataFrame:
+def folded(parts: list[DataFrame], name: str, at: int = 50) -> list[DataFrame]:
+    """parts, written as one where there are so many that their union would make a long plan."""
+    return parts if len(parts) < at else [materialize(reduce(DataFrame.unionByName, parts), name)]
+
+
+def topological(links: DataFrame) -> DataFrame:
     """(node, depth): the length of the longest path to each node; null for nodes on or behind a cycle.
 
-    Nodes without edges in are taken off round by round; every round is a join, and its rest is written so that
-    the plan stays short.
+    Nodes without edges in are taken off round by round until none is left without; every round is a join, and its
+    rest is written so that the plan stays short.
     """
     left = links.select("src", "dst").where("src <> dst").distinct()
     loops = links.where("src = dst").select(F.col("src").alias("node")).distinct()
     nodes = links.select(F.col("src").alias("node")).unionByName(links.select(F.col("dst").alias("node"))).distinct()
     remaining, done = materialize(nodes, "nodes"), []
     left = materialize(left.unionByName(loops.select(F.col("node").alias("src"), F.col("node").alias("dst"))), "links")
-    for depth in range(rounds):
+    for depth in count():
         free = materialize(remaining.join(left.select(F.col("dst").alias("node")), "node", "left_anti"), "free")
         if free.isEmpty():
             break
-        done.append(free.withColumn("depth", F.lit(depth)))
+        done = folded([*done, free.withColumn("depth", F.lit(depth))], "order")
         remaining = materialize(remaining.join(free, "node", "left_anti"), "nodes")
         left = materialize(left.join(free.withColumnRenamed("node", "src"), "src", "left_anti"), "links")
-    out = remaining.withColumn("depth", F.lit(None).cast("int"))
-    for d in done:
-        out = out.unionByName(d)
-    return out
+    return reduce(DataFrame.unionByName, done, remaining.withColumn("depth", F.lit(None).cast("int")))
 
 
 def safe_id(name: Column) -> Column:

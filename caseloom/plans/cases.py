@@ -325,9 +325,8 @@ def k_03(spark: SparkSession, d: str) -> DataFrame:
 
 @query("k_04")
 def k_04(spark: SparkSession, d: str) -> DataFrame:
-    """In what order names can be computed; uses in one document in ten make the edges, else all lies on cycles."""
-    links = G.edges(_defs(spark, d)).where("src < dst")
-    return G.topological(links)
+    """In what order names can be computed; null for those on or behind a cycle, which have no such place."""
+    return G.topological(G.edges(_defs(spark, d), loops=True))
 
 
 @query("k_05", r"""with n as (select doc_id, unnest(regexp_extract_all(text, 'File "[^"]+", line [0-9]+, in \w+')) as t from documents where text is not null)
@@ -447,12 +446,14 @@ def k_23(spark: SparkSession, d: str) -> DataFrame:
 
 @query("f_14")
 def f_14(spark: SparkSession, d: str) -> DataFrame:
-    """Names that change when the rarest name does, and over how many steps."""
+    """Names that change with those that documents define after the first month, and over how many steps."""
     from caseloom.operators import catalog
 
+    docs = read_table(spark, d, "documents").where("text is not null")
+    since = docs.agg(F.add_months(F.trunc(F.min("added_at"), "month"), 1).cast("timestamp").alias("since"))
     links = G.edges(_defs(spark, d))
-    rarest = links.groupBy(F.col("src").alias("name")).agg(F.sum("uses").alias("n")).orderBy("n", "name").limit(1)
-    return catalog.propagate(rarest.select("name"), links.select(F.col("dst").alias("name"), F.col("src").alias("needs")))
+    late = G.definitions(docs.crossJoin(F.broadcast(since)).where("added_at >= since"))
+    return catalog.propagate(late.select("name"), links.select(F.col("dst").alias("name"), F.col("src").alias("needs")))
 
 
 @query("m_06", """with e as (select domain, entry_section, policy_phrase, list_sort(list_distinct(list(entry_name))) as names from observations where entry_name is not null and policy_phrase is not null group by all)
