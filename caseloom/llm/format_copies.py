@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caseloom.operators.observations import unpacked
 from caseloom.session import materialize
 
 #: Entries that one trie takes, bytes that one edge of a trie spans, and the depth from which no bucket is split.
@@ -22,7 +23,6 @@ BUCKET_ROWS, EDGE, DEEPEST = 20_000, 16, 4096
 #: A group holding at least this share of all records is looked up by broadcast; there are at most 1 / HOT of them.
 HOT = 0.001
 
-FIELDS = ("policy_phrase", "source_doc", "section")
 SEPARATOR, ABSENT = "\u001f", "\u001a"
 
 
@@ -32,16 +32,6 @@ def canonical(*fields: Column) -> Column:
     return F.concat_ws(SEPARATOR, *bare)
 
 
-def three_fields(observations: DataFrame) -> DataFrame:
-    """(obs_id, policy_phrase, source_doc, section), from the columns or, where these are null, from payload.
-
-    A payload that is no JSON object, or lacks a key, gives nulls.
-    """
-    inside = F.from_json("payload", "policy_phrase string, source_doc string, section string")
-    outside = F.coalesce(*[F.col(f) for f in FIELDS]).isNull() & F.col("payload").isNotNull()
-    return observations.withColumn("__in", inside).select("obs_id", *[F.when(outside, F.col(f"__in.{f}")).otherwise(F.col(f)).alias(f) for f in FIELDS])
-
-
 def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Copies of a key within a batch become one entry."""
     for batch in batches:
@@ -103,7 +93,7 @@ def copy_groups(keyed: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
 
 def keyed_observations(observations: DataFrame) -> DataFrame:
     """(obs_id, key) of the observations that can be copies: policy_phrase neither null nor blank."""
-    rows = three_fields(observations).where(r"policy_phrase is not null and not policy_phrase rlike '(?U)^\\s*$'")
+    rows = unpacked(observations).where(r"policy_phrase is not null and not policy_phrase rlike '(?U)^\\s*$'")
     return rows.select("obs_id", canonical(F.col("section"), F.col("policy_phrase"), F.col("source_doc")).alias("key"))
 
 

@@ -13,6 +13,7 @@ from caseloom.operators import decisions as R
 from caseloom.operators import graphs as G
 from caseloom.operators import structural_csv as S
 from caseloom.operators.decisions import Rule
+from caseloom.operators.observations import unpacked
 from caseloom.plans import registry
 from caseloom.session import read_table
 
@@ -393,7 +394,7 @@ def k_20(spark: SparkSession, d: str) -> DataFrame:
 @query("k_22", "select result_id, count(*) as phrases from (select distinct source_doc, policy_phrase from observations where policy_phrase is not null and source_doc is not null) o join parse_result p on p.source = replace(o.source_doc, '.md', '.pdf') where contains(p.markdown, o.policy_phrase) group by 1")
 def k_22(spark: SparkSession, d: str) -> DataFrame:
     """Phrases that stand word for word in their source."""
-    said = read_table(spark, d, "observations").where("policy_phrase is not null and source_doc is not null").select(F.replace("source_doc", F.lit(".md"), F.lit(".pdf")).alias("source"), "policy_phrase").distinct()
+    said = unpacked(read_table(spark, d, "observations")).where("policy_phrase is not null and source_doc is not null").select(F.replace("source_doc", F.lit(".md"), F.lit(".pdf")).alias("source"), "policy_phrase").distinct()
     return said.join(read_table(spark, d, "parse_result"), "source").where(F.contains("markdown", "policy_phrase")).groupBy("result_id").agg(F.count("*").alias("phrases"))
 
 
@@ -462,7 +463,7 @@ def m_06(spark: SparkSession, d: str) -> DataFrame:
     """All names that one phrase of a section goes by, a prior name among them."""
     from caseloom.operators import catalog
 
-    rows = read_table(spark, d, "observations").where("entry_name is not null and policy_phrase is not null").groupBy("domain", "entry_section", "policy_phrase").agg(F.array_sort(F.collect_set("entry_name")).alias("names"))
+    rows = unpacked(read_table(spark, d, "observations")).where("entry_name is not null and policy_phrase is not null").groupBy("domain", "entry_section", "policy_phrase").agg(F.array_sort(F.collect_set("entry_name")).alias("names"))
     return rows.select("domain", "entry_section", "policy_phrase", F.array_join(F.array_sort(catalog.renamed_entry(F.col("names"), F.lower(F.get("names", F.lit(0))))), ",").alias("synonyms"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from caseloom.operators import catalog as C
 from caseloom.operators import freshness as H
 from caseloom.operators import telemetry as E
+from caseloom.operators.observations import unpacked
 from caseloom.plans.registry import query
 from caseloom.session import read_table
 
@@ -192,6 +193,10 @@ def f_13(spark: SparkSession, d: str) -> DataFrame:
 
 # -------------------------------------------------------------------- catalogue
 
+def _observations(spark: SparkSession, d: str) -> DataFrame:
+    return unpacked(read_table(spark, d, "observations"))
+
+
 ENTRY = "entry_section is not null and entry_name is not null"
 
 
@@ -207,7 +212,7 @@ M5 = f"""with o as (select domain, entry_section, entry_name, policy_phrase, sou
 @query("m_05", M5 + "select domain, entry_section, entry_name, count(*) as distinct_observations, string_agg(seen::varchar, ',' order by seen) as in_order from o group by all")
 def m_05(spark: SparkSession, d: str) -> DataFrame:
     """Each entry's observations, each once and in the order they were made (nulls compare as equal)."""
-    rows = read_table(spark, d, "observations").where(ENTRY)
+    rows = _observations(spark, d).where(ENTRY)
     first = rows.groupBy("domain", "entry_section", "entry_name", "policy_phrase", "source_doc", "section").agg(F.min("obs_id").alias("at"))
     listed = F.array_join(F.transform(F.array_sort(F.collect_list("at")), lambda x: x.cast("string")), ",")
     return first.groupBy("domain", "entry_section", "entry_name").agg(F.count("*").alias("distinct_observations"), listed.alias("in_order"))
@@ -215,7 +220,7 @@ def m_05(spark: SparkSession, d: str) -> DataFrame:
 
 def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     keys = ["domain", "entry_section", "entry_name"]
-    rows = read_table(spark, d, "observations").where(ENTRY)
+    rows = _observations(spark, d).where(ENTRY)
     of = lambda part: C.provenance(rows.where(part), keys, ["obs_id"]).join(rows.where(part).groupBy(*keys).agg(F.min_by("policy_phrase", "obs_id").alias("phrase")), keys)
     return of("obs_id % 2 = 1"), of("obs_id % 3 = 0")
 
@@ -260,7 +265,7 @@ PLAIN = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(policy_ph
 
 @query("m_12", f"select obs_id, {PLAIN} as plain from observations where policy_phrase is not null")
 def m_12(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "observations").where("policy_phrase is not null").select("obs_id", C.plain_phrase(F.col("policy_phrase")).alias("plain"))
+    return _observations(spark, d).where("policy_phrase is not null").select("obs_id", C.plain_phrase(F.col("policy_phrase")).alias("plain"))
 
 
 @query("m_13", f"""with p as (select obs_id, entry_name, coalesce(entry_section, '') as entity, source_doc, {PLAIN} as plain from observations where policy_phrase is not null),
@@ -268,7 +273,7 @@ b as (select plain, source_doc, min((entity, entry_name)) as e from p where plai
 select p.obs_id as phrase_id, coalesce(b.e, a.e)[2] as name from p left join b on b.plain = p.plain and b.source_doc = p.source_doc left join a on a.plain = p.plain where p.plain <> ''""")
 def m_13(spark: SparkSession, d: str) -> DataFrame:
     """Each phrase with the entry it stands for."""
-    rows = read_table(spark, d, "observations").where("policy_phrase is not null")
+    rows = _observations(spark, d).where("policy_phrase is not null")
     phrases = rows.select(F.col("obs_id").alias("phrase_id"), F.col("policy_phrase").alias("phrase"), "source_doc")
     return C.look_up(phrases, rows.select(F.col("policy_phrase").alias("phrase"), "source_doc", F.col("entry_section").alias("entity"), F.col("entry_name").alias("name")))
 
@@ -292,8 +297,8 @@ def v_02(spark: SparkSession, d: str) -> DataFrame:
 @query("v_03", "select obs_id, case when policy_phrase is null and payload is null then 'no_phrase' when (source_doc is null) <> (section is null) then 'unpaired' end as fault from observations where (policy_phrase is null and payload is null) or (source_doc is null) <> (section is null)")
 def v_03(spark: SparkSession, d: str) -> DataFrame:
     """Observations that lack what provenance needs."""
-    fault = F.when(F.col("policy_phrase").isNull() & F.col("payload").isNull(), "no_phrase").when(F.col("source_doc").isNull() != F.col("section").isNull(), "unpaired")
-    return read_table(spark, d, "observations").select("obs_id", fault.alias("fault")).where("fault is not null")
+    fault = F.when(F.col("policy_phrase").isNull(), "no_phrase").when(F.col("source_doc").isNull() != F.col("section").isNull(), "unpaired")
+    return _observations(spark, d).select("obs_id", fault.alias("fault")).where("fault is not null")
 
 
 @query("v_04", "select distinct entry_name as name from observations where entry_name is not null and entry_name not in (select column_name from field_spec)")
@@ -336,7 +341,7 @@ def e_15(spark: SparkSession, d: str) -> DataFrame:
 select entry_name, count(*) as observations, md5(string_agg(coalesce(source_doc, '~') || '|' || coalesce(section, '~') || '|' || coalesce(policy_phrase, '~'), chr(10) order by coalesce(source_doc, '~') collate C, coalesce(section, '~') collate C, coalesce(policy_phrase, '~') collate C)) as digest from o group by 1""")
 def m_11(spark: SparkSession, d: str) -> DataFrame:
     """Each name's observations over all documents, walked in order of document and section."""
-    rows = read_table(spark, d, "observations").where("entry_name is not null").select("entry_name", "policy_phrase", "source_doc", "section").distinct()
+    rows = _observations(spark, d).where("entry_name is not null").select("entry_name", "policy_phrase", "source_doc", "section").distinct()
     tilde = lambda c: F.coalesce(F.col(c), F.lit("~"))
     walked = F.array_sort(F.collect_list(F.struct(tilde("source_doc").alias("a"), tilde("section").alias("b"), tilde("policy_phrase").alias("c"))))
     text = F.array_join(F.transform(walked, lambda x: F.concat_ws("|", x["a"], x["b"], x["c"])), "\n")

@@ -2,8 +2,12 @@
 
 import datetime as dt
 
+import duckdb
+import pytest
+
 from caseloom.operators import catalog
 from caseloom.plans import load
+from verify import rows as compared
 
 
 def rules(*lines):
@@ -34,3 +38,19 @@ def test_changes_go_on_over_more_than_a_hundred_steps(spark):
     needs = spark.createDataFrame([(i + 1, i) for i in range(103)], "name int, needs int")
     got = {r.name: r.distance for r in catalog.propagate(spark.createDataFrame([(0,)], "name int"), needs).collect()}
     assert got == {i: i for i in range(104)}
+
+
+UNPACKED = """create view observations as select obs_id, domain, entry_section, entry_name, null::varchar as payload, observed_at, ingested_at,
+  case when outside then p->>'policy_phrase' else policy_phrase end as policy_phrase, case when outside then p->>'source_doc' else source_doc end as source_doc, case when outside then p->>'section' else section end as section
+  from (select *, try_cast(payload as json) as p, coalesce(policy_phrase, source_doc, section) is null and payload is not null as outside from '/root/testdata/sf0.01/observations.parquet')"""
+
+
+@pytest.mark.parametrize("name", ["m_05", "m_06", "m_11", "m_12", "m_13", "k_22", "v_03"])
+def test_observations_in_payload_count_like_those_in_columns(spark, name):
+    """The SQL as it stands, over a view in which payload has been unpacked."""
+    runs, sql = load()
+    con = duckdb.connect()
+    con.execute("set timezone='UTC'")
+    con.execute(UNPACKED)
+    con.execute("create view parse_result as select * from '/root/testdata/sf0.01/parse_result.parquet'")
+    assert compared(runs[name](spark, "/root/testdata/sf0.01").toPandas()) == compared(con.execute(sql[name]).df())
