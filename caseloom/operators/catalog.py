@@ -126,6 +126,16 @@ def newest_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFr
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+def by_time(rows: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
+    """(earlier, later) rows: before the middle between the first and last time, and from it on; null times are earlier.
+
+    Together they hold every row once.
+    """
+    middle = rows.agg(F.timestamp_micros(F.expr(f"unix_micros(min({at})) + (unix_micros(max({at})) - unix_micros(min({at}))) div 2")).alias("__middle"))
+    both = rows.crossJoin(F.broadcast(middle)).withColumn("__later", F.coalesce(F.col(at) >= F.col("__middle"), F.lit(False)))
+    return both.where("not __later").drop("__middle", "__later"), both.where("__later").drop("__middle", "__later")
+
+
 def renamed_entry(synonyms: Column, prior_name: Column) -> Column:
     """The synonyms of an entry that had another name, that name among them; the same again when repeated."""
     return F.array_distinct(F.concat(F.coalesce(synonyms, F.array().cast("array<string>")), F.when(prior_name.isNotNull(), F.array(prior_name)).otherwise(F.array().cast("array<string>"))))

@@ -219,17 +219,17 @@ def m_05(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Entries of the observations made before and after the middle of all their time; those without a time come first."""
     keys = ["domain", "entry_section", "entry_name"]
-    rows = _observations(spark, d).where(ENTRY)
-    of = lambda part: C.provenance(rows.where(part), keys, ["obs_id"]).join(rows.where(part).groupBy(*keys).agg(F.min_by("policy_phrase", "obs_id").alias("phrase")), keys)
-    return of("obs_id % 2 = 1"), of("obs_id % 3 = 0")
-
-
+    earlier, later = C.by_time(_observations(spark, d).where(ENTRY), "observed_at")
+    # the first of an entry's observations is the one of the least obs_id
+    of = lambda rows: C.provenance(rows, keys, ["obs_id"]).withColumn("phrase", F.get("observations", F.lit(0))["policy_phrase"])
+    return of(earlier), of(later)
 
 
 @query("m_03")
 def m_03(spark: SparkSession, d: str) -> DataFrame:
-    """Entries of odd observations merged with those of every third one."""
+    """Entries of earlier observations merged with those of later ones."""
     merged = C.merge(*_halves(spark, d), ["domain", "entry_section", "entry_name"], ["phrase"], ["observations"])
     return merged.select("domain", "entry_section", "entry_name", "phrase", F.size("observations").alias("observations"), "action")
 

@@ -4,9 +4,11 @@ import datetime as dt
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from caseloom.operators import catalog
 from caseloom.plans import load
+from caseloom.session import read_table
 from verify import rows as compared
 
 
@@ -54,3 +56,34 @@ def test_observations_in_payload_count_like_those_in_columns(spark, name):
     con.execute(UNPACKED)
     con.execute("create view parse_result as select * from '/root/testdata/sf0.01/parse_result.parquet'")
     assert compared(runs[name](spark, "/root/testdata/sf0.01").toPandas()) == compared(con.execute(sql[name]).df())
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_two_sides_hold_every_row_once(spark):
+    rows = spark.createDataFrame([(1, None)] + [(i, dt.datetime(2024, 1, i)) for i in range(2, 8)], "id int, at timestamp")
+    earlier, later = catalog.by_time(rows, "at")
+    assert ([r.id for r in earlier.orderBy("id").collect()], [r.id for r in later.orderBy("id").collect()]) == ([1, 2, 3, 4], [5, 6, 7])
+
+
+def test_merges_take_in_all_entries_and_cases(spark):
+    runs, _ = load()
+    entries = read_table(spark, SMALL, "observations").where("entry_section is not null and entry_name is not null").select("domain", "entry_section", "entry_name").distinct().count()
+    merged = runs["m_03"](spark, SMALL).collect()
+    told = {(r.domain, r.entry_section, r.entry_name): r.distinct_observations for r in runs["m_05"](spark, SMALL).collect()}
+    assert {(r.domain, r.entry_section, r.entry_name): r.observations for r in merged} == told and len(merged) == entries
+    assert sum(r.entries for r in runs["m_09"](spark, SMALL).collect()) == entries
+    kept = sum(r.action == "kept" for r in merged)
+    assert runs["m_07"](spark, SMALL).count() == kept
+    cases = runs["p1_loaded"](spark, SMALL).select("module", "case_id").distinct().count()
+    assert sum(r.cases for r in runs["c_11"](spark, SMALL).collect()) == cases
+
+
+def test_rules_and_look_up_take_in_all_lines_and_parts(spark):
+    runs, _ = load()
+    lines = read_table(spark, SMALL, "lineitem").count()
+    assert runs["d_02"](spark, SMALL).count() == lines
+    assert runs["d_02"](spark, SMALL).where("l_quantity = 12 and (v is not null or status <> 'conflict')").count() == 0
+    found = read_table(spark, SMALL, "lineitem").join(read_table(spark, SMALL, "part"), F.col("l_partkey") == F.col("p_partkey"), "left_semi").count()
+    assert runs["d_11"](spark, SMALL).where("found").count() == found
