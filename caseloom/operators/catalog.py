@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 from itertools import count
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,6 +129,32 @@ def newest_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFr
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+def walk_digests(rows: DataFrame, key: str, order: list[str], total: str) -> DataFrame:
+    """(key, total, digest): how many rows a key has, and the MD5 of their texts in order, joined by line breaks.
+
+    A key's rows go through its task one by one, sorted by Spark: neither array nor joined text is ever held.
+    """
+
+    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, n, md5 = None, 0, hashlib.md5()
+        for batch in batches:
+            done = []
+            for value, text in zip(batch[key], batch["text"]):
+                if n and value == name:
+                    md5.update(b"\n")
+                else:
+                    if n:
+                        done.append((name, n, md5.hexdigest()))
+                    name, n, md5 = value, 0, hashlib.md5()
+                md5.update(text.encode())
+                n += 1
+            yield pd.DataFrame(done, columns=[key, total, "digest"])
+        yield pd.DataFrame([(name, n, md5.hexdigest())] if n else [], columns=[key, total, "digest"])
+
+    walked = rows.repartition(key).sortWithinPartitions(key, *order).select(key, "text")
+    return walked.mapInPandas(digests, f"{key} string, {total} bigint, digest string")
+
+
 def by_time(rows: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
     """(earlier, later) rows: before the middle between the first and last time, and from it on; null times are earlier.
 

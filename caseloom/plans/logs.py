@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.operators import catalog as C
 from caseloom.operators import freshness as H
 from caseloom.operators import telemetry as E
-from caseloom.operators.observations import unpacked
+from caseloom.operators.observations import FIELDS, unpacked
 from caseloom.plans.registry import query
 from caseloom.session import read_table
 
@@ -218,20 +220,24 @@ def m_05(spark: SparkSession, d: str) -> DataFrame:
     return first.groupBy("domain", "entry_section", "entry_name").agg(F.count("*").alias("distinct_observations"), listed.alias("in_order"))
 
 
+KEYS = ["domain", "entry_section", "entry_name"]
+
+
 def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Entries of the observations made before and after the middle of all their time; those without a time come first."""
-    keys = ["domain", "entry_section", "entry_name"]
     earlier, later = C.by_time(_observations(spark, d).where(ENTRY), "observed_at")
-    # the first of an entry's observations is the one of the least obs_id
-    of = lambda rows: C.provenance(rows, keys, ["obs_id"]).withColumn("phrase", F.get("observations", F.lit(0))["policy_phrase"])
+    of = lambda rows: rows.groupBy(*KEYS).agg(F.min_by("policy_phrase", "obs_id").alias("phrase"))
     return of(earlier), of(later)
 
 
 @query("m_03")
 def m_03(spark: SparkSession, d: str) -> DataFrame:
     """Entries of earlier observations merged with those of later ones."""
-    merged = C.merge(*_halves(spark, d), ["domain", "entry_section", "entry_name"], ["phrase"], ["observations"])
-    return merged.select("domain", "entry_section", "entry_name", "phrase", F.size("observations").alias("observations"), "action")
+    merged = C.merge(*_halves(spark, d), KEYS, ["phrase"], []).alias("m")
+    # both sides hold all rows; what either says counts once
+    told = _observations(spark, d).where(ENTRY).select(*KEYS, *FIELDS).distinct().groupBy(*KEYS).agg(F.count("*").cast("int").alias("observations")).alias("t")
+    same = reduce(Column.__and__, [F.col(f"m.{k}").eqNullSafe(F.col(f"t.{k}")) for k in KEYS])
+    return merged.join(told, same).select(*[f"m.{k}" for k in KEYS], "phrase", "observations", "action")
 
 
 @query("m_07", f"""with o as (select distinct domain, entry_section, entry_name, obs_id from observations where {ENTRY}) select domain, entry_section, entry_name from o where obs_id % 2 = 1
@@ -343,9 +349,9 @@ def m_11(spark: SparkSession, d: str) -> DataFrame:
     """Each name's observations over all documents, walked in order of document and section."""
     rows = _observations(spark, d).where("entry_name is not null").select("entry_name", "policy_phrase", "source_doc", "section").distinct()
     tilde = lambda c: F.coalesce(F.col(c), F.lit("~"))
-    walked = F.array_sort(F.collect_list(F.struct(tilde("source_doc").alias("a"), tilde("section").alias("b"), tilde("policy_phrase").alias("c"))))
-    text = F.array_join(F.transform(walked, lambda x: F.concat_ws("|", x["a"], x["b"], x["c"])), "\n")
-    return rows.groupBy("entry_name").agg(F.count("*").alias("observations"), F.md5(text).alias("digest"))
+    text = F.concat_ws("|", "a", "b", "c")
+    walked = rows.select("entry_name", tilde("source_doc").alias("a"), tilde("section").alias("b"), tilde("policy_phrase").alias("c"))
+    return C.walk_digests(walked.withColumn("text", text), "entry_name", ["a", "b", "c"], "observations")
 
 
 @query("f_06", LISTED + "select 1::int as rank, x.path, row_number() over (order by x.path) as place from x left join l on l.path = x.path where l.sha is null or l.sha <> x.sha")

@@ -1,6 +1,7 @@
 """Queries and operators that once did less than the whole job."""
 
 import datetime as dt
+import hashlib
 
 import duckdb
 import pytest
@@ -87,3 +88,20 @@ def test_rules_and_look_up_take_in_all_lines_and_parts(spark):
     assert runs["d_02"](spark, SMALL).where("l_quantity = 12 and (v is not null or status <> 'conflict')").count() == 0
     found = read_table(spark, SMALL, "lineitem").join(read_table(spark, SMALL, "part"), F.col("l_partkey") == F.col("p_partkey"), "left_semi").count()
     assert runs["d_11"](spark, SMALL).where("found").count() == found
+
+
+def test_large_groups_are_neither_array_nor_one_text(spark):
+    runs, _ = load()
+    for name in ("m_03", "m_11"):
+        plan = runs[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list" not in plan and "array_distinct" not in plan
+
+
+def test_digests_go_on_over_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = spark.createDataFrame([(k, i, f"{k}{i}") for k in ("a", "b", "\u00e9") for i in range(7)], "k string, i int, text string")
+        got = {r.k: (r.n, r.digest) for r in catalog.walk_digests(rows, "k", ["i"], "n").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {k: (7, hashlib.md5("\n".join(f"{k}{i}" for i in range(7)).encode()).hexdigest()) for k in ("a", "b", "\u00e9")}
