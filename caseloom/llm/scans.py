@@ -104,7 +104,7 @@ def furniture(lines: DataFrame) -> DataFrame:
     titled = words.join(titles, "doc", "left").withColumn("is_title", F.coalesce(plain(F.col("mask")) == plain(skeleton(F.col("title"))), F.lit(False)))
     same = Window.partitionBy("doc", "mask")
     counted = titled.withColumn("times", F.count("*").over(same)).withColumn("recurs", (F.col("times") >= 2) & (F.col("times") * 2 >= F.coalesce("pages", F.lit(1)) - 1))
-    supported = counted.where("recurs").groupBy("mask").agg(F.approx_count_distinct("doc").alias("docs")).where(F.col("docs") >= SUPPORT).select("mask")
+    supported = counted.where("recurs").select("mask", "doc").distinct().groupBy("mask").agg(F.count("*").alias("docs")).where(F.col("docs") >= SUPPORT).select("mask")
     repeated = counted.where("recurs or is_title").select("doc", "line_no").unionByName(counted.where("not recurs and not is_title").join(supported, "mask", "left_semi").select("doc", "line_no"))
     return numbered.unionByName(repeated).distinct()
 

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from caseloom.llm import scans
 from caseloom.operators import catalog
 from caseloom.plans import load
 from caseloom.session import read_table
@@ -105,3 +106,12 @@ def test_digests_go_on_over_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == {k: (7, hashlib.md5("\n".join(f"{k}{i}" for i in range(7)).encode()).hexdigest()) for k in ("a", "b", "\u00e9")}
+
+
+def test_headers_of_exactly_three_documents_are_counted_exactly(spark):
+    letters, rows = "BCDFGHKMNP", []
+    for m, (a, b, c) in enumerate((a, b, c) for a in letters for b in letters for c in letters):
+        line = f"Handbook {a}{b.lower()}{c.lower()}w"
+        rows += [(4 * m + i, at, 2, line) for i in range(3) for at in (1, 9)] + [(4 * m + 3, 1, 50, line)]
+    lines = spark.createDataFrame(rows, "doc long, line_no int, pages int, line string").withColumn("result_id", F.col("doc"))
+    assert scans.furniture(lines).where("doc % 4 = 3").count() == 1000
