@@ -1,149 +1,212 @@
 """Conversations put together from message rows by keyed streaming state.
 
-The key is a session and an hour of its event time, so that a session that holds much of all rows is spread over
-many small states. A state buffers the hour's messages, late ones included, drops repeats and says what the hour
-looks like; it is closed when the watermark has passed it. Hours are then strung together for each session.
+Three stateful steps, all of them Spark's own and so without Python. Copies of a message are one key, reduced
+before the shuffle. The messages of a session and an hour are one state, so that a session that holds much of all
+rows is spread over many; it buffers late arrivals until the watermark has passed the hour, and is emitted then and
+only then. What is known of closed hours, a few flags each, is the state of their session, a session window that is
+closed by its timeout: then its conversation is validated and emitted, once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from caseloom.session import scratch_path
+from caseloom.session import materialize, scratch_path
 
-#: An hour's state is closed this long after the hour; rows that come later still are refused (an error).
-LATENESS = "30 days"
-SLICE_SECONDS = 3600
-#: Messages without ts are spread over so many states of a session.
-UNTIMED = 16
+#: For streams without an end: how long after its time a message is still taken, and after which pause a session ends.
+LATENESS, IDLE = "2 hours", "1 day"
+SLICE = "1 hour"
+
+#: Bytes of input in one micro-batch of a replay.
+BATCH_BYTES = 64 << 30
 
 _STRIP = r"(?U)^\s+|\s+$"
+#: Behind all other time; its arrival closes whatever is open.
+_END, _CLOSING = "9000-01-01 00:00:00", "\u0000closing"
 
-STATE = "stamps array<bigint>, kinds array<string>, firsts array<string>, seconds array<string>, places array<string>"
-OUT = (
-    "session_id string, slice bigint, revision bigint, spoken boolean, blank boolean, untimed boolean, first_role string, last_role string, "
-    "twice_assistant boolean, twice_user boolean, stamps array<bigint>, roles array<string>, texts array<string>"
+MESSAGE = "session_id string, ts timestamp, kind string, first string, second string, place string"
+SLICES = (
+    "session_id string, start timestamp, spoken boolean, blank boolean, first_role string, last_role string, twice_assistant boolean, twice_user boolean, "
+    "turns array<struct<stamp: bigint, role: string, text: string>>"
 )
+CLOSED = "session_id string, spoken boolean, broken boolean, missing boolean, hours array<struct<start: timestamp, turns: int>>"
+
 
+def keyed_events(events: DataFrame, texts: bool = True) -> DataFrame:
+    """Stateless part: session and time of each event, its kind (U, A, Q, or null for no message) and trimmed texts.
 
-def keyed_events(events: DataFrame) -> DataFrame:
-    """Stateless part: session and slice of each event, its kind (U, A, Q, or null for no message) and texts."""
-    strip = lambda c: F.regexp_replace(c, _STRIP, "")
+    Without texts, digests stand for them, which is all that a verdict needs.
+    """
+    strip = lambda c: F.coalesce(F.regexp_replace(c, _STRIP, ""), F.lit(""))
+    told = lambda c: c if texts else F.when(c == "", "").otherwise(F.md5(c))
     kind = F.when(F.col("type") == "user_prompt", "U").when(F.col("type") == "assistant_response", "A").when(F.col("type") == "ai_question", "Q")
     first = F.when(kind == "U", F.col("prompt")).when(kind == "A", F.col("response")).when(kind == "Q", F.col("question"))
-    rows = events.where("session_id is not null").select(
-        F.lower(strip(F.col("session_id"))).alias("session_id"),
+    return events.where("session_id is not null").select(
+        F.lower(F.regexp_replace("session_id", _STRIP, "")).alias("session_id"),
         "ts",
         kind.alias("kind"),
-        F.coalesce(strip(first), F.lit("")).alias("first"),
-        F.when(kind == "Q", F.coalesce(strip(F.col("answer")), F.lit(""))).alias("second"),
+        told(strip(first)).alias("first"),
+        F.when(kind == "Q", told(strip(F.col("answer")))).otherwise("").alias("second"),
         F.concat_ws("\u001f", F.coalesce("log", F.lit("")), F.lpad(F.coalesce(F.col("line_no").cast("string"), F.lit("")), 12, "0")).alias("place"),
     )
-    untimed = -1 - F.pmod(F.xxhash64("kind", "first", "second"), F.lit(UNTIMED))
-    return rows.withColumn("slice", F.coalesce(F.expr(f"unix_micros(ts) div {SLICE_SECONDS}000000"), untimed))
-
-
-def summarise(session: str, part: int, buffer: list[tuple]) -> dict:
-    """What an hour of a session looks like: its messages in order and all that joining hours needs to know."""
-    roles, texts, stamps = [], [], []
-    timed = part >= 0
-    for stamp, kind, first, second, _ in sorted(buffer, key=lambda m: (m[0] or 0, m[4])):
-        for role, text in ((("user" if kind == "U" else "assistant"), first), *((("user", second),) if kind == "Q" else ())):
-            roles.append(role)
-            texts.append(text)
-            stamps.append(stamp)
-    twice = [a for a, b in zip(roles, roles[1:]) if a == b] if timed else []
-    return {
-        "session_id": session, "slice": part, "revision": len(buffer), "spoken": any(texts), "blank": not all(texts), "untimed": bool(roles) and not timed,
-        "first_role": roles[0] if roles and timed else None, "last_role": roles[-1] if roles and timed else None,
-        "twice_assistant": "assistant" in twice, "twice_user": "user" in twice, "stamps": stamps, "roles": roles, "texts": texts,
-    }
-
-
-def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Buffers an hour's messages and says what it looks like by now; a timed-out hour has been said already."""
-    session, part = key[0], int(key[1])
-    if state.hasTimedOut:
-        state.remove()
-        return
-    buffer = [(m[0], *m[1:]) for m in zip(*[list(x) for x in state.get])] if state.exists else []
-    seen = {m[:4]: m for m in buffer}
-    for batch in batches:
-        for stamp, kind, first, second, place in zip(batch["stamp"].tolist(), batch["kind"].tolist(), batch["first"].tolist(), batch["second"].tolist(), batch["place"].tolist()):
-            if kind is None or kind != kind:
-                continue
-            message = (int(stamp) if part >= 0 else 0, kind, first, second if kind == "Q" else "", place)
-            kept = seen.get(message[:4])
-            if kept is None or place < kept[4]:
-                seen[message[:4]] = message
-    buffer = list(seen.values())
-    state.update(tuple([m[i] for m in buffer] for i in range(5)))
-    end = (part + 1) * SLICE_SECONDS * 1000 if part >= 0 else 0
-    state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame([summarise(session, part, buffer)])
-
-
-def conversation_slices(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """The stateful operator on a streaming DataFrame of session events: one row for each hour that changed."""
-    keyed = keyed_events(events).withColumn("stamp", F.coalesce(F.expr("unix_micros(ts)"), F.lit(0))).withWatermark("ts", lateness)
-    return keyed.groupBy("session_id", "slice").applyInPandasWithState(_fold, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def replay(spark: SparkSession, path: str, lateness: str = LATENESS) -> DataFrame:
-    """Runs the stream over all files there are at path and returns the last word on each hour.
-
-    Everything there is makes one batch, before which there is no watermark: rows in any order, however late,
-    are taken. Were rows refused as too late, the run fails rather than leave them out.
+
+
+def session_marks(keyed: DataFrame) -> DataFrame:
+    """(session_id, mark) once each, as soon as they come: known for an event that is no message, and for a message
+    without time untimed, or untimed_blank where it has a text that is blank or none at all."""
+    spoken = (F.col("first") != "") | (F.col("second") != "")
+    mark = F.when(F.col("kind").isNull(), "known").when(spoken, "untimed").otherwise("untimed_blank")
+    return keyed.where("kind is null or ts is null").select("session_id", mark.alias("mark")).dropDuplicates(["session_id", "mark"])
+
+
+def _turns(messages: Column) -> Column:
+    """Messages in order of time and place, a question followed at once by its answer."""
+    turn = lambda m, role, text: F.struct(m["stamp"].alias("stamp"), F.lit(role).alias("role"), m[text].alias("text"))
+    said = lambda m: F.when(m["kind"] == "U", F.array(turn(m, "user", "first"))).when(m["kind"] == "A", F.array(turn(m, "assistant", "first"))).otherwise(
+        F.array(turn(m, "assistant", "first"), turn(m, "user", "second"))
+    )
+    return F.flatten(F.transform(F.array_sort(messages), said))
+
+
+def _twice(roles: Column, role: str) -> Column:
+    follows = F.zip_with(F.slice(roles, 1, F.greatest(F.size(roles) - 1, F.lit(0))), F.slice(roles, 2, F.size(roles)), lambda a, b: (a == role) & (b == role))
+    return F.exists(follows, lambda x: x)
+
+
+def conversation_slices(keyed: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """The hours of sessions, each emitted once when the watermark has closed it; keyed is a stream of keyed_events.
+
+    A message repeated in another log or line is one message, at its first place. Messages without time are no
+    part of an hour; see session_marks.
     """
-    out, at = scratch_path(spark, "conversations"), scratch_path(spark, "conversations-log")
-    # as a pattern, a path may be a folder of files as well as one file
-    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
-    query = conversation_slices(events, lateness).writeStream.format("parquet").option("path", out).option("checkpointLocation", at).outputMode("append").trigger(availableNow=True).start()
+    timed = keyed.withWatermark("ts", lateness).where("kind is not null and ts is not null")
+    once = timed.groupBy("session_id", F.window("ts", SLICE).alias("hour"), F.unix_micros("ts").alias("stamp"), "kind", "first", "second").agg(F.min("place").alias("place"))
+    held = once.groupBy("session_id", "hour").agg(F.collect_list(F.struct("stamp", "place", "kind", "first", "second")).alias("messages"))
+    rows = held.select("session_id", F.col("hour.start").alias("start"), _turns(F.col("messages")).alias("turns"))
+    roles = F.transform("turns", lambda t: t["role"])
+    return rows.select(
+        "session_id", "start", F.exists("turns", lambda t: t["text"] != "").alias("spoken"), F.exists("turns", lambda t: t["text"] == "").alias("blank"),
+        F.element_at(roles, 1).alias("first_role"), F.element_at(roles, -1).alias("last_role"), _twice(roles, "assistant").alias("twice_assistant"), _twice(roles, "user").alias("twice_user"), "turns",
+    )
+
+
+def closed_sessions(slices: DataFrame, idle: str = IDLE) -> DataFrame:
+    """(session_id, spoken, broken, missing, hours): sessions validated when their timeout closes them.
+
+    slices is a stream of conversation_slices. hours says how many turns each of the session's hours has.
+    """
+    one = F.struct("start", F.size("turns").alias("turns"), "spoken", "blank", "first_role", "last_role", "twice_assistant", "twice_user")
+    held = slices.withWatermark("start", SLICE).select("session_id", "start", one.alias("h")).groupBy("session_id", F.session_window("start", idle).alias("w")).agg(F.array_sort(F.collect_list("h")).alias("hours"))
+    any_of = lambda name: F.exists("hours", lambda h: h[name])
+    size = F.size("hours")
+    across = lambda role: F.exists(
+        F.zip_with(F.slice("hours", 1, size - 1), F.slice("hours", 2, size), lambda a, b: (a["last_role"] == role) & (b["first_role"] == role)), lambda x: x
+    )
+    broken = any_of("blank") | any_of("twice_assistant") | across("assistant") | (F.get("hours", F.lit(0))["first_role"] == "assistant")
+    missing = any_of("twice_user") | across("user") | (F.element_at("hours", -1)["last_role"] == "user")
+    counted = F.transform("hours", lambda h: F.struct(h["start"].alias("start"), h["turns"].alias("turns")))
+    return held.select("session_id", any_of("spoken").alias("spoken"), broken.alias("broken"), missing.alias("missing"), counted.alias("hours"))
+
+
+@contextmanager
+def _state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams started meanwhile keep their state in RocksDB rather than in the heap, unless the session says otherwise."""
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    }
+    with_state = {k: spark.conf.get(k, None) for k in wanted}
+    own = with_state["spark.sql.streaming.stateStore.providerClass"]
+    change = own is None or own.endswith("HDFSBackedStateStoreProvider")
+    try:
+        if change:
+            for k, v in wanted.items():
+                spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in with_state.items() if change else ():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _run(df: DataFrame, out: str, log: str, lateness: str, last: bool = True) -> None:
+    """Takes in what there is; only the last run has a batch of its own for what the watermark then closes."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", str(last).lower())
+    try:
+        query = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", log).outputMode("append").trigger(availableNow=True).start()
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     query.awaitTermination()
     dropped = sum(int(o.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for o in p.get("stateOperators", []))
     if dropped:
         raise ValueError(f"{dropped} rows came later than {lateness}")
-    rows = spark.read.schema(OUT).parquet(out)
-    names = [c for c in rows.columns if c not in ("session_id", "slice")]
-    return rows.groupBy("session_id", "slice").agg(F.max_by(F.struct(*names), "revision").alias("s")).select("session_id", "slice", "s.*")
 
 
-def verdicts(slices: DataFrame) -> DataFrame:
+def _end_row(spark: SparkSession, schema: str, at: str) -> DataFrame:
+    """The row that ends a stream of this schema."""
+    fields = [f.split(" ", 1) for f in schema.split(", turns ")[0].split(", ")] + ([["turns", schema.split(", turns ")[1]]] if ", turns " in schema else [])
+    known = {"session_id": F.lit(_CLOSING), "kind": F.lit("U"), at: F.lit(_END)}
+    return spark.range(1).select(*[known.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in fields])
+
+
+def replay(spark: SparkSession, path: str, texts: bool = True, lateness: str | None = None, idle: str | None = None, **source: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Runs the streams over all files there are at path: (marks, slices, closed sessions).
+
+    Files come in no order of time, so that by default a message may be as late, and a session as long idle, as
+    all time there is; were rows refused as too late, the run fails rather than leave them out. Files are taken in
+    micro-batches of BATCH_BYTES (or as source, options of the file source, says). After the last one a row behind
+    all time closes what is open.
+    """
+    kept = spark.read.parquet(path)
+    low, high = kept.agg(F.unix_seconds(F.min("ts")), F.unix_seconds(F.max("ts"))).first()
+    span = f"{(high - low if low is not None else 0) + 7200} seconds"
+    lateness, idle = lateness or span, idle or span
+    limits = source or {"maxBytesPerTrigger": str(BATCH_BYTES)}
+    slices, closed, ends, ends_of = (scratch_path(spark, f"conversation-{n}") for n in ("slices", "closed", "end", "last"))
+    # as a pattern, a path may be a folder of files as well as one file
+    events = keyed_events(spark.readStream.schema(kept.schema).options(**limits).parquet(f"{path[:-1]}[{path[-1]}]"), texts)
+    end = _end_row(spark, MESSAGE, "ts")
+    with _state_on_disk(spark):
+        end.limit(0).write.parquet(ends)
+        hours = conversation_slices(events.unionByName(spark.readStream.schema(MESSAGE).parquet(ends)), lateness)
+        _run(hours, slices, slices + "-log", lateness, last=False)
+        end.write.mode("append").parquet(ends)
+        _run(hours, slices, slices + "-log", lateness)
+        # the hours are all there and make one batch, and so the row that ends them may come with them
+        _end_row(spark, SLICES, "start").write.parquet(ends_of)
+        told = spark.readStream.schema(SLICES)
+        _run(closed_sessions(told.parquet(slices).unionByName(told.parquet(ends_of)), idle), closed, closed + "-log", idle)
+    return session_marks(keyed_events(kept, texts)), spark.read.schema(SLICES).parquet(slices), spark.read.schema(CLOSED).parquet(closed)
+
+
+def verdicts(marks: DataFrame, closed: DataFrame) -> DataFrame:
     """(session_id, verdict) of every session; null for one to keep, else the first that holds of
 
     empty (no message, or none with a text), broken (a message without ts or text, the assistant first, or twice
     in a row), missing_reply (the user twice in a row, or last). Messages of one ts keep the order of log and line.
     """
-    order = Window.partitionBy("session_id").orderBy("slice")
-    spoken = slices.where("first_role is not null").withColumn("prior", F.lag("last_role").over(order))
-    pairs = spoken.groupBy("session_id").agg(
-        F.min_by("first_role", "slice").alias("first_role"),
-        F.max_by("last_role", "slice").alias("last_role"),
-        F.max(F.col("twice_assistant") | ((F.col("prior") == "assistant") & (F.col("first_role") == "assistant"))).alias("twice_assistant"),
-        F.max(F.col("twice_user") | ((F.col("prior") == "user") & (F.col("first_role") == "user"))).alias("twice_user"),
-    )
-    flags = slices.groupBy("session_id").agg(F.max("spoken").alias("spoken"), F.max("blank").alias("blank"), F.max("untimed").alias("untimed"))
-    no = lambda c: F.coalesce(F.col(c), F.lit(False))
-    broken = no("untimed") | no("blank") | no("twice_assistant") | F.coalesce(F.col("first_role") == "assistant", F.lit(False))
-    missing = no("twice_user") | F.coalesce(F.col("last_role") == "user", F.lit(False))
-    return flags.join(pairs, "session_id", "left").select("session_id", F.when(~no("spoken"), "empty").when(broken, "broken").when(missing, "missing_reply").alias("verdict"))
+    seen = marks.select("session_id", (F.col("mark") == "untimed").alias("spoken"), F.col("mark").startswith("untimed").alias("broken"), F.lit(False).alias("missing"))
+    rows = seen.unionByName(closed.select("session_id", "spoken", "broken", "missing"))
+    said = rows.groupBy("session_id").agg(*[F.bool_or(c).alias(c) for c in ("spoken", "broken", "missing")])
+    return said.select("session_id", F.when(~F.col("spoken"), "empty").when(F.col("broken"), "broken").when(F.col("missing"), "missing_reply").alias("verdict"))
 
 
 def dropped_sessions(spark: SparkSession, path: str) -> DataFrame:
     """(session_id, verdict) of the sessions to drop."""
-    return verdicts(replay(spark, path)).where("verdict is not null")
+    marks, _, closed = replay(spark, path, texts=False)
+    return verdicts(marks, closed).where("verdict is not null")
 
 
 def conversations(spark: SparkSession, path: str) -> DataFrame:
     """(session_id, turn, role, ts, text): the messages of every session to keep, in order; turn counts from 1."""
-    slices = replay(spark, path)
-    kept = verdicts(slices).where("verdict is null").select("session_id")
-    before = Window.partitionBy("session_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    placed = slices.join(kept, "session_id", "left_semi").withColumn("offset", F.coalesce(F.sum(F.size("roles")).over(before), F.lit(0)))
-    rows = placed.select("session_id", "offset", F.posexplode(F.arrays_zip("roles", "stamps", "texts")).alias("at", "m"))
-    return rows.select("session_id", (F.col("offset") + F.col("at") + 1).alias("turn"), F.col("m.roles").alias("role"), F.timestamp_micros("m.stamps").alias("ts"), F.col("m.texts").alias("text"))
+    marks, slices, closed = replay(spark, path)
+    kept = materialize(verdicts(marks, closed).where("verdict is null").select("session_id"), "kept")
+    before = Window.partitionBy("session_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    hours = closed.join(kept, "session_id", "left_semi").select("session_id", F.inline("hours"))
+    placed = hours.select("session_id", "start", F.coalesce(F.sum("turns").over(before), F.lit(0)).alias("offset"))
+    rows = slices.select("session_id", "start", "turns").join(placed, ["session_id", "start"]).select("session_id", "offset", F.posexplode("turns").alias("at", "t"))
+    return rows.select("session_id", (F.col("offset") + F.col("at") + 1).alias("turn"), F.col("t.role").alias("role"), F.timestamp_micros("t.stamp").alias("ts"), F.col("t.text").alias("text"))

@@ -286,6 +286,36 @@ def test_conversations(spark, tmp_path):
     assert by and all([t for t, _ in m] == list(range(1, len(m) + 1)) and [x for _, x in m] == ["user", "assistant"] * (len(m) // 2) for m in by.values())
 
 
+def test_hours_are_told_once_and_sessions_when_they_are_closed(spark, tmp_path):
+    """Four micro-batches: late and repeated messages, some without time, and sessions that end at different times."""
+    folder = tmp_path / "stream.parquet"
+    hour = 3600
+    batches = [
+        [event("l", 1, 0, "a", "user_prompt", "q"), event("l", 2, 60, "a", "assistant_response", "r"), event("l", 3, None, "n", "user_prompt", "x"), event("l", 4, 0, "w", "turn_duration")],
+        [event("l", 5, 5 * hour, "b", "user_prompt", "q"), event("m", 6, 0, " A ", "user_prompt", " q "), event("l", 7, hour - 1, "a", "user_prompt", "late")],
+        [event("l", 8, hour + 30, "a", "assistant_response", "last"), event("l", 9, 5 * hour, "b", "user_prompt", "q"), event("l", 10, None, "n", "user_prompt", "x"), event("l", 11, 30 * hour, "c", "assistant_response", "r")],
+        [event("l", 12, 5 * hour + 1, "b", "assistant_response", "r"), event("l", 13, None, "n", "user_prompt", " "), event("l", 14, 29 * hour, "c", "user_prompt", "q")],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, EVENTS).coalesce(1).write.mode("append").parquet(str(folder))
+    marks, slices, closed = conversations.replay(spark, str(folder), lateness="40 hours", idle="2 days", maxFilesPerTrigger="1")
+    told = [(r.session_id, r.start.hour, len(r.turns)) for r in slices.collect()]
+    assert sorted(told) == [("a", 0, 3), ("a", 1, 1), ("b", 5, 2), ("c", 5, 1), ("c", 6, 1)] and sorted(r.session_id for r in closed.collect()) == ["a", "b", "c"]
+    assert {r.session_id: r.verdict for r in conversations.verdicts(marks, closed).collect()} == {"a": None, "b": None, "c": None, "n": "broken", "w": "empty"}
+    for n in (100, 200, 300, 1):
+        spark.createDataFrame([event("k", n, n * hour, "z", "user_prompt", "q")], EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "late.parquet"))
+    with pytest.raises(ValueError, match="came later"):
+        conversations.replay(spark, str(tmp_path / "late.parquet"), lateness="1 minute", idle="2 days", maxFilesPerTrigger="1")
+
+
+def test_an_open_stream_closes_sessions_by_their_timeout(spark, tmp_path):
+    rows = [event("l", 1, 0, "a", "user_prompt", "q"), event("l", 2, 60, "a", "assistant_response", "r"), event("l", 3, 9 * 86_400, "b", "user_prompt", "q")]
+    spark.createDataFrame(rows, EVENTS).coalesce(1).write.parquet(str(tmp_path / "in"))
+    events = conversations.keyed_events(spark.readStream.schema(EVENTS).parquet(str(tmp_path / "in")))
+    conversations._run(conversations.conversation_slices(events), str(tmp_path / "hours"), str(tmp_path / "hours-log"), "2 hours")
+    assert [(r.session_id, len(r.turns)) for r in spark.read.parquet(str(tmp_path / "hours")).collect()] == [("a", 2)]
+
+
 def test_conversations_of_nothing(spark, tmp_path):
     path = str(tmp_path / "none.parquet")
     spark.createDataFrame([], EVENTS).write.parquet(path)
