@@ -1,14 +1,16 @@
-"""Records that differ at most in formatting, collapsed by radix partitioning and counted in tries.
+"""Records that differ at most in formatting, collapsed by recursive radix partitioning and counted in tries.
 
 A record's canonical bytes are the letters and digits of its fields. Buckets are the records that share the
-first byte; a bucket too large for one task is split by the next bytes until each fits. A trie for each bucket
-counts at its terminals. Copies within an Arrow batch are counted before anything is shuffled, so a group that
-holds a third of all rows reaches its bucket as one entry for each batch.
+first bytes. In each pass the buckets that fit one task are counted in tries; the rows of those that do not, and
+only they, go on to the next pass with twice as many bytes, for as long as any bucket is too large. Copies within
+an Arrow batch are counted before anything is shuffled; a key whose bytes are all used up in a bucket too large
+has its counter added up by Spark in parts, so that no group of copies comes to one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,12 +19,15 @@ from pyspark.sql import functions as F
 from caseloom.operators.observations import unpacked
 from caseloom.session import materialize
 
-#: Entries that one trie takes, bytes that one edge of a trie spans, and the depth from which no bucket is split.
-BUCKET_ROWS, EDGE, DEEPEST = 20_000, 16, 4096
+#: Entries and bytes of keys that one trie takes, bytes that one edge of a trie spans, bytes of the first pass.
+BUCKET_ROWS, BUCKET_BYTES, EDGE, FIRST = 20_000, 16 << 20, 16, 2
 
-#: A group holding at least this share of all records is looked up by broadcast; there are at most 1 / HOT of them.
+#: A group holding at least this share of all records is hot; there are at most 1 / HOT of them.
 HOT = 0.001
 
+#: Bytes that are sent to every task; what is larger is joined by shuffle, the large side in so many salted parts.
+BROADCAST_BYTES, SALTS = 32 << 20, 32
+
 SEPARATOR, ABSENT = "\u001f", "\u001a"
 
 
@@ -38,13 +43,13 @@ def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.groupby("key", sort=False).agg(records=("obs_id", "size"), first=("obs_id", "min")).reset_index()
 
 
-def _count_in_trie(bucket: pd.DataFrame) -> pd.DataFrame:
-    depth = len(bucket["bucket"].iloc[0])
-    root: dict = {}
+def _count_in_tries(group: pd.DataFrame) -> pd.DataFrame:
+    """A trie for each bucket of the group, below the bytes its keys share."""
+    tries: dict[bytes, dict] = {}
     ends: list[tuple[str, list[int]]] = []
-    for key, records, first in zip(bucket["key"], bucket["records"].tolist(), bucket["first"].tolist()):
-        data, node = key.encode(), root
-        for at in range(depth, len(data), EDGE):
+    for bucket, key, records, first in zip(group["bucket"], group["key"], group["records"].tolist(), group["first"].tolist()):
+        data, node = key.encode(), tries.setdefault(bytes(bucket), {})
+        for at in range(len(bucket), len(data), EDGE):
             node = node.setdefault(data[at : at + EDGE], {})
         counter = node.get(None)
         if counter is None:
@@ -55,40 +60,55 @@ def _count_in_trie(bucket: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(key, first, n) for key, (n, first) in ends if n > 1], columns=["key", "keep_id", "copies"])
 
 
-def radix_buckets(entries: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """entries with bucket, the shortest prefix of key's bytes that at most bucket_rows entries share.
+def _counted(rows: DataFrame, groups: int) -> DataFrame:
+    """The copies in buckets that fit. Small buckets share a group, which on average takes no more than one that just fits."""
+    return rows.groupBy(F.pmod(F.xxhash64("bucket"), F.lit(groups)).alias("g")).applyInPandas(_count_in_tries, "key string, keep_id bigint, copies bigint")
+
 
-    At each depth only the prefixes still too large are kept: at most entries / bucket_rows of them, so that
-    they can be sent to every task. Keys that end within a prefix too large stay with it; only entries of one
-    and the same key are left there then, one for each batch.
+def _marked(rows: DataFrame, listed: DataFrame, key: str, flag: str, size: int) -> DataFrame:
+    """rows with flag, whether listed (distinct values of key, of size bytes together) has theirs.
+
+    A list too large for a broadcast meets the rows in salted parts, since its values are those that many rows have.
     """
-    data = F.col("key").cast("binary")
-    prefix = lambda d: F.substring(data, 1, d)
-    levels: list[tuple[int, DataFrame]] = []
-    depth = 1
-    while depth <= DEEPEST:
-        # a prefix is too large only below one that is
-        left = entries.withColumn("above", prefix(levels[-1][0])).join(F.broadcast(levels[-1][1].withColumnRenamed("prefix", "above")), "above", "left_semi") if levels else entries
-        sizes = left.where(F.length(data) > depth).groupBy(prefix(depth).alias("prefix")).agg(F.count("*").alias("n"))
-        large = materialize(sizes.where(F.col("n") > bucket_rows).select("prefix"), "large")
-        if large.isEmpty():
-            break
-        levels.append((depth, large))
-        depth += 1 if depth < 8 else depth // 2
-    out, bucket = entries, None
-    for at, large in levels:
-        flagged = large.select(F.col("prefix").alias(f"prefix_{at}"), F.lit(True).alias(f"split_{at}"))
-        out = out.withColumn(f"prefix_{at}", prefix(at)).join(F.broadcast(flagged), f"prefix_{at}", "left")
-        fits = F.col(f"split_{at}").isNull() | (F.length(data) <= at)
-        bucket = F.when(fits, prefix(at)) if bucket is None else bucket.when(fits, prefix(at))
-    last = prefix(depth)
-    return out.select(*entries.columns, (last if bucket is None else bucket.otherwise(last)).alias("bucket"))
+    told = listed.select(key).withColumn(flag, F.lit(True))
+    if size <= BROADCAST_BYTES:
+        out = rows.join(F.broadcast(told), key, "left")
+    else:
+        salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)))
+        out = salted.join(told.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))), [key, "__salt"], "left").drop("__salt")
+    return out.withColumn(flag, F.coalesce(flag, F.lit(False)))
+
+
+def _bytes(df: DataFrame, key: str) -> int:
+    return df.agg(F.coalesce(F.sum(F.octet_length(key) + 16), F.lit(0))).first()[0]
+
 
+def copy_groups(keyed: DataFrame, bucket_rows: int = BUCKET_ROWS, bucket_bytes: int = BUCKET_BYTES, first: int = FIRST) -> DataFrame:
+    """(key, keep_id, copies) of every key that more than one of the records (obs_id, key) has.
 
-def copy_groups(keyed: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(key, keep_id, copies) of every key that more than one of the records (obs_id, key) has."""
-    combined = materialize(keyed.select("key", "obs_id").mapInPandas(_combine, "key string, records bigint, first bigint"), "combined")
-    return radix_buckets(combined, bucket_rows).groupBy("bucket").applyInPandas(_count_in_trie, "key string, keep_id bigint, copies bigint")
+    The depth doubles from pass to pass without a bound; a key ends at the latest where its bytes do.
+    """
+    left = materialize(keyed.select("key", "obs_id").mapInPandas(_combine, "key string, records bigint, first bigint"), "combined")
+    entries, size = left.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("key")), F.lit(0))).first()
+    groups = max(entries // bucket_rows, size // bucket_bytes, left.sparkSession.sparkContext.defaultParallelism)
+    found, depth = [], first
+    while True:
+        rows = left.withColumn("bucket", F.substring(F.col("key").cast("binary"), 1, depth))
+        sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.octet_length("key")).alias("bytes"))
+        large = materialize(sizes.where((F.col("n") > bucket_rows) | (F.col("bytes") > bucket_bytes)).select("bucket"), "large")
+        if large.isEmpty():
+            found.append(_counted(rows, groups))
+            break
+        # rows go to one of three places; they are told apart once, and written
+        ended = F.octet_length("key") <= depth
+        place = F.when(~F.col("over"), "fits").when(ended, "ended").otherwise("deeper")
+        placed = materialize(_marked(rows, large, "bucket", "over", _bytes(large, "bucket")).withColumn("place", place).drop("over"), "placed")
+        found.append(_counted(placed.where("place = 'fits'"), groups))
+        terminals = placed.where("place = 'ended'").groupBy("key").agg(F.min("first").alias("keep_id"), F.sum("records").alias("copies"))
+        found.append(terminals.where("copies > 1").select("key", "keep_id", "copies"))
+        left = placed.where("place = 'deeper'").select("key", "records", "first")
+        depth *= 2
+    return reduce(DataFrame.unionByName, found)
 
 
 def keyed_observations(observations: DataFrame) -> DataFrame:
@@ -103,6 +123,23 @@ def collapse(observations: DataFrame, bucket_rows: int = BUCKET_ROWS) -> tuple[D
     return keyed, materialize(copy_groups(keyed, bucket_rows), "groups")
 
 
+def members(keyed: DataFrame, groups: DataFrame) -> DataFrame:
+    """(keep_id, copy_id) of all records of each group but the kept one.
+
+    Hot groups are sent to every task if their keys are few bytes, else met in salted parts; the others by shuffle.
+    """
+    least = max(keyed.count() * HOT, 2)
+    hot, cold = groups.where(F.col("copies") >= least), groups.where(F.col("copies") < least)
+    flagged = _marked(keyed, hot, "key", "hot", (size := _bytes(hot, "key")))
+    if size <= BROADCAST_BYTES:
+        warm = keyed.join(F.broadcast(hot), "key")
+    else:
+        parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))
+        warm = keyed.withColumn("salt", F.pmod(F.xxhash64("obs_id"), F.lit(SALTS))).join(hot.withColumn("salt", parts), ["key", "salt"])
+    pairs = warm.select("keep_id", "obs_id").unionByName(flagged.where("not hot").join(cold, "key").select("keep_id", "obs_id"))
+    return pairs.where("obs_id <> keep_id").select("keep_id", F.col("obs_id").alias("copy_id")).distinct()
+
+
 def copies(observations: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(keep_id, copy_id): for each set of copies its smallest obs_id with every other one.
 
@@ -110,11 +147,7 @@ def copies(observations: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame
     copies; one that has no letter or digit but is not blank is a copy of others like it. Texts are compared as
     they are encoded: a letter with a combining mark differs from the composed letter.
     """
-    keyed, groups = collapse(observations, bucket_rows)
-    least = keyed.count() * HOT
-    hot = F.broadcast(groups.where(F.col("copies") >= max(least, 2)))
-    found = keyed.join(hot, "key").unionByName(keyed.join(hot, "key", "left_anti").join(groups.where(F.col("copies") < max(least, 2)), "key"))
-    return found.where("obs_id <> keep_id").select("keep_id", F.col("obs_id").alias("copy_id")).distinct()
+    return members(*collapse(observations, bucket_rows))
 
 
 def records(observations: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -123,6 +156,6 @@ def records(observations: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFram
     What is counted here are rows, so one obs_id delivered twice counts twice.
     """
     keyed, groups = collapse(observations, bucket_rows)
-    dropped = copies(observations, bucket_rows).select(F.col("copy_id").alias("obs_id"))
+    dropped = members(keyed, groups).select(F.col("copy_id").alias("obs_id"))
     counted = observations.select("obs_id").join(dropped, "obs_id", "left_anti").join(groups.select(F.col("keep_id").alias("obs_id"), "copies"), "obs_id", "left")
     return counted.select("obs_id", F.coalesce("copies", F.lit(1)).alias("copies")).distinct()

@@ -150,6 +150,21 @@ def test_copies_agree_with_brute_force_at_every_bucket_size(spark):
     assert format_copies.copies(observations(spark, rows[:1]).limit(0)).count() == 0
 
 
+def test_buckets_split_past_any_depth_and_any_size_of_list(spark, monkeypatch):
+    """Keys that share more than 4,096 bytes, and lists of large buckets too big to be sent to every task."""
+    long = "x" * 5000
+    rows = [(i, f"{long} {i // 3}", "d", None, None, 1) for i in range(60)] + [(100 + i, "same", "d", None, None, 1) for i in range(40)] + [(200, "unlike", None, None, None, 1)]
+    want = {(i - i % 3, i) for i in range(60) if i % 3} | {(100, 100 + i) for i in range(1, 40)}
+    # letters and digits only: 1 and 11 differ, and so do all others here
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        assert {tuple(r) for r in format_copies.copies(observations(spark, rows), 5).collect()} == want
+        monkeypatch.setattr(format_copies, "BROADCAST_BYTES", 0)
+        assert {tuple(r) for r in format_copies.copies(observations(spark, rows), 5).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_records_count_their_copies(spark):
     rows = [(1, "A b", None, None, None, 1), (2, "a-B", None, None, None, 1), (3, None, "d", None, None, 1), (4, None, "d", None, None, 1)]
     assert {tuple(r) for r in format_copies.records(observations(spark, rows)).collect()} == {(1, 2), (3, 1), (4, 1)}
