@@ -22,10 +22,20 @@ def _div(a: Column, b: Column) -> Column:
 
 
 def mul_round(cents: Column | int, num: Column | int, den: Column | int) -> Column:
-    """cents * num / den, half away from zero; a zero denominator raises."""
-    n, d = _c(cents).cast(WIDE) * _c(num).cast(WIDE), _c(den).cast(WIDE)
-    twice = (F.abs(n) * 2 + F.abs(d)).cast(WIDE)
-    return (F.signum(n).cast("int") * F.signum(d).cast("int") * _div(twice, (F.abs(d) * 2).cast(WIDE))).cast("bigint")
+    """cents * num / den, half away from zero; a zero denominator raises.
+
+    Numbers whose product surely fits BIGINT are worked out in it, the others in DECIMAL(38,0).
+    """
+    a, b, c = (_c(x).cast("bigint") for x in (cents, num, den))
+
+    def half_away(n: Column, d: Column, kind: str) -> Column:
+        twice = (F.abs(n) * 2 + F.abs(d)).cast(kind)
+        sign = F.when((n < 0) == (d < 0), F.lit(1)).otherwise(-1)
+        return (sign * _div(twice, (F.abs(d) * 2).cast(kind))).cast("bigint")
+
+    small = a.between(-(1 << 40), 1 << 40) & b.between(-(1 << 20), 1 << 20) & c.between(-(1 << 60), 1 << 60)
+    wide = half_away(_c(cents).cast(WIDE) * _c(num).cast(WIDE), _c(den).cast(WIDE), WIDE)
+    return F.when(small, half_away(a * b, c, "bigint")).otherwise(wide)
 
 
 def money_times(cents: Column, num: Column | int, den: Column | int = 1) -> Column:

@@ -6,6 +6,7 @@ must come out, resolve gives it, or raises or reports when none or several diffe
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -25,37 +26,36 @@ class Rule:
     exceptions: list[Rule] = field(default_factory=list)
 
 
-def _outcome(rules: list[Rule]) -> tuple[Column, Column]:
-    """(value, conflict) of rules of one rank. Rules of the same value do not conflict."""
-    values, conflicts = [], []
+def _bound(value: Column, say: Callable[[Column], Column]) -> Column:
+    """say of value, which stands in the plan once, however often say mentions it."""
+    return F.get(F.transform(F.array(value), say), F.lit(0))
+
+
+def _fired(rules: list[Rule]) -> Column:
+    """The distinct values that rules of one rank give, null for none; two or more are a conflict, as is one below.
+
+    Each rule stands in the plan once, whatever the depth of its exceptions.
+    """
+    given = []
     for r in rules:
-        if r.exceptions:
-            over, clash = _outcome(r.exceptions)
-            values.append(F.when(over.isNotNull(), over).otherwise(F.when(r.condition, r.value)))
-            conflicts.append(clash)
-        else:
-            values.append(F.when(r.condition, r.value))
-    fired = F.array_distinct(F.array_compact(F.array(*values)))
-    clash = F.size(fired) > 1
-    for c in conflicts:
-        clash = clash | c
-    return F.when(F.size(fired) >= 1, F.get(fired, F.lit(0))), clash
+        own = F.when(r.condition, F.array(r.value))
+        given.append(F.coalesce(_fired(r.exceptions), own) if r.exceptions else own)
+    values = F.array_distinct(F.filter(F.flatten(F.array_compact(F.array(*given))), lambda v: v.isNotNull()))
+    return F.get(F.filter(F.array(values), lambda a: F.size(a) > 0), F.lit(0))
 
 
 def resolve(rules: list[Rule], strict: bool = True) -> Column:
     """The one value that the rules give. Without any, or with several, strict raises; else the result is null."""
-    value, clash = _outcome(rules)
     names = ", ".join(r.name for r in rules)
     if not strict:
-        return F.when(~clash, value)
+        return _bound(_fired(rules), lambda a: F.when(F.size(a) == 1, F.get(a, F.lit(0))))
     said = lambda text: F.raise_error(F.lit(f"{text}: {names}"))
-    return F.when(clash, said("conflicting values")).when(value.isNull(), said("no value")).otherwise(value)
+    return _bound(_fired(rules), lambda a: F.when(a.isNull(), said("no value")).when(F.size(a) > 1, said("conflicting values")).otherwise(F.get(a, F.lit(0))))
 
 
 def status(rules: list[Rule]) -> Column:
     """value, none or conflict."""
-    value, clash = _outcome(rules)
-    return F.when(clash, "conflict").when(value.isNull(), "none").otherwise("value")
+    return _bound(_fired(rules), lambda a: F.when(a.isNull(), "none").when(F.size(a) > 1, "conflict").otherwise("value"))
 
 
 def fulfilled(*conditions: Column) -> Column:

@@ -30,9 +30,11 @@ MONEY = r"^-?\$?([0-9]+|[0-9]{1,3}(,[0-9]{3})+)(\.[0-9]{1,2})?$"
 DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 
 
-def structural_index(lines: pa.Array) -> tuple[pa.Array, pa.Array]:
+def structural_index(lines: pa.Array, records: bool = False) -> tuple[pa.Array, pa.Array]:
     """(whether the quoting holds, the unquoted fields) of each line; both null for a null line.
 
+    With records, a line may be a whole text, and its fields come as a list for each record.
+
     Field i of a line runs between two unquoted commas. Quoting holds if each quote that opens stands at a
     field's start or doubles the one before it, each that closes stands at a field's end or is doubled by the
     next, and their number is even. An unquoted line break ends the record; if more follows, its fields count
@@ -84,6 +86,14 @@ def structural_index(lines: pa.Array) -> tuple[pa.Array, pa.Array]:
     field_offsets = np.concatenate([[0], kept[ends]]).astype(np.int32)
     values = pa.StringArray.from_buffers(len(ends), pa.py_buffer(field_offsets), pa.py_buffer(data[keep].tobytes()))
     fields = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_row)]), pa.int32()), values)
+    if records:
+        ends_rows = np.cumsum(per_row)
+        closes_record = np.zeros(len(ends), bool)
+        closes_record[ends_rows - 1] = True
+        closes_record[np.arange(len(cuts)) + cut_rows] |= ends_record[cuts]
+        bounds = np.concatenate([[0], np.flatnonzero(closes_record) + 1])
+        inner = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)
+        fields = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.searchsorted(bounds, ends_rows)]), pa.int32()), inner)
     null = np.asarray(pc.is_null(lines))
     fine = pa.array(~broken, mask=null)
     return fine, pc.if_else(pc.and_(pc.fill_null(fine, False), pc.is_valid(lines)), fields, pa.scalar(None, fields.type))
@@ -106,6 +116,22 @@ def split_lines(df: DataFrame, line: str = "line") -> DataFrame:
     return df.select(line, *others).mapInArrow(run, schema).withColumnsRenamed({"__fine": "fine", "__fields": "fields"})
 
 
+def split_records(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with records ARRAY<ARRAY<STRING>> in place of text: its fields, trimmed, record by record; null where the quoting is broken."""
+    others = [c for c in df.columns if c != text]
+    schema = df.select(*others).withColumn("__records", F.array(F.array(F.lit("")))).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, rows = structural_index(batch.column(0), records=True)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], rows], names=[*others, "__records"])
+
+    for f in schema.fields:
+        f.nullable = True
+    out = df.select(text, *others).mapInArrow(run, schema).withColumnRenamed("__records", "records")
+    return out.withColumn("records", F.transform("records", lambda r: F.transform(r, lambda x: F.trim(x))))
+
+
 def layout(field_spec: DataFrame) -> DataFrame:
     """(module, columns): per module the columns of its lines in order, each with type, need and allowed values."""
     of = lambda name, kind, optional: F.struct(
@@ -123,6 +149,18 @@ def layout(field_spec: DataFrame) -> DataFrame:
     )
 
 
+def no_module() -> Column:
+    """The columns of a line whose module has no field_spec."""
+    return F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit("string").alias("leaf_type"), F.lit(c in TAIL).alias("optional"), F.lit(None).cast("array<string>").alias("enum_values")) for c in HEAD + TAIL])
+
+
+def with_layout(rows: DataFrame, field_spec: DataFrame) -> DataFrame:
+    """rows with the columns of their module, the five common ones where it has no field_spec."""
+    spec = layout(field_spec)
+    few = field_spec.limit(SPEC_BROADCAST_ROWS + 1).count() <= SPEC_BROADCAST_ROWS
+    return rows.join(F.broadcast(spec) if few else spec, "module", "left").withColumn("columns", F.coalesce("columns", no_module()))
+
+
 def value_fault(value: Column, kind: Column, optional: Column, allowed: Column) -> Column:
     """Why a trimmed value does not fit its column, or null."""
     bad = lambda leaf, fits: F.when((kind == leaf) & ~fits, f"INVALID_{leaf.upper()}")
@@ -145,12 +183,10 @@ def read_cases(lines: DataFrame, field_spec: DataFrame) -> DataFrame:
     number of columns with nothing filled after the first three. A module without field_spec has only the five
     common columns. Extra columns of ``lines`` are ignored.
     """
-    few = field_spec.limit(SPEC_BROADCAST_ROWS + 1).count() <= SPEC_BROADCAST_ROWS
-    spec = layout(field_spec)
     rows = lines.select("line_id", "import_file", "module", "row_num", "received_at", "line").where(F.col("line").isNotNull() & ~F.col("row_num").eqNullSafe(1) & ~F.col("line").rlike(r'^\s*"?\s*#desc\s*"?\s*(,|$)'))
-    parsed = split_lines(rows).join(F.broadcast(spec) if few else spec, "module", "left")
-    counted = F.size("fields") == F.coalesce(F.size("columns"), F.lit(len(HEAD) + len(TAIL)))
-    stub = counted & F.forall(F.slice("fields", 4, 10_000), lambda v: v == "")
+    parsed = with_layout(split_lines(rows), field_spec)
+    counted = F.size("fields") == F.size("columns")
+    stub = counted & F.forall(F.slice("fields", 4, F.greatest(F.size("fields"), F.lit(1))), lambda v: v == "")
     return (
         parsed.withColumn("fault", F.when(~F.col("fine"), "BROKEN_QUOTING").when(~counted, "WRONG_COLUMN_COUNT"))
         .where(~F.coalesce(stub, F.lit(False)))
@@ -183,7 +219,7 @@ def _typed(value: Column, kind: Column) -> Column:
         F.when(kind == "money", F.when(value != "", money)).alias("amount"),
         F.when(kind == "date", filled.try_cast("date")).alias("day"),
         F.when(kind == "list", F.filter(F.transform(F.split(filled, ";"), lambda x: F.trim(x)), lambda x: x != "")).alias("items"),
-        F.when(kind.isin("string", "enum"), filled).alias("text"),
+        filled.alias("text"),
     )
 
 
@@ -191,17 +227,19 @@ def load_cases(lines: DataFrame, field_spec: DataFrame) -> DataFrame:
     """The lines without failure as typed rows: one per line_id, ``cells`` holding each column's typed value.
 
     Of several deliveries the earliest is kept (ties: any, the line being the same). Whole numbers are
-    DECIMAL(38,0) and amounts DECIMAL(38,2), beyond which the value is null.
+    DECIMAL(38,0) and amounts DECIMAL(38,2); what lies beyond them has its text only. Text is the trimmed value as
+    it was written, whatever its type.
     """
     read = read_cases(lines, field_spec).where(F.col("fault").isNull())
     bad = F.exists(F.zip_with("columns", "fields", lambda c, v: value_fault(v, c["leaf_type"], c["optional"], c["enum_values"])), lambda x: x.isNotNull())
     good = read.where(~F.coalesce(bad, F.lit(False)))
-    first = good.groupBy("line_id").agg(F.min_by(F.struct("import_file", "module", "row_num", "received_at", "columns", "fields"), F.struct("received_at", "import_file")).alias("r"))
-    return first.select(
+    # the columns of a module are not shuffled with its lines but looked up again behind the shuffle
+    first = good.groupBy("line_id").agg(F.min_by(F.struct("import_file", "module", "row_num", "fields"), F.struct("received_at", "import_file")).alias("r"))
+    return with_layout(first.withColumn("module", F.col("r.module")), field_spec).select(
         "line_id",
         "r.import_file",
         "r.module",
         "r.row_num",
         *[F.get("r.fields", F.lit(i)).alias(c) for i, c in enumerate(HEAD)],
-        F.zip_with("r.columns", "r.fields", lambda c, v: F.struct(c["column_name"].alias("column_name"), c["leaf_type"].alias("leaf_type"), _typed(v, c["leaf_type"]).alias("value"))).alias("cells"),
+        F.zip_with("columns", "r.fields", lambda c, v: F.struct(c["column_name"].alias("column_name"), c["leaf_type"].alias("leaf_type"), _typed(v, c["leaf_type"]).alias("value"))).alias("cells"),
     )

@@ -1,14 +1,17 @@
 """Session logs: durations of turns and skills, turns of a session, and reports over logs that share sessions.
 
-Sessions are windows over (session, time). The boundary events of a session are its prompts, responses and
-questions; a prompt that begins with a slash starts a skill.
+Sessions run along (session, time) in ranges, of which a long session has several (see ranking). The boundary
+events of a session are its prompts, responses and questions; a prompt that begins with a slash starts a skill.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caseloom.operators.ranking import numbered, running
+
+#: The events between which time is measured.
 BOUNDARY = ("user_prompt", "assistant_response", "ai_question")
 SHARED = ".shared"
 
@@ -34,14 +37,18 @@ def ordered(events: DataFrame) -> DataFrame:
     return events.where("session_id is not null and ts is not null").withColumn("session_id", F.lower(F.trim("session_id")))
 
 
-def _by_time() -> Window:
-    return Window.partitionBy("session_id").orderBy("ts", "log", "line_no")
+SESSION, BY_TIME = ["session_id"], ["ts", "log", "line_no"]
+
+
+def _slash() -> Column:
+    """1 for a prompt that begins a skill, else 0."""
+    return F.coalesce(((F.col("type") == "user_prompt") & F.col("prompt").startswith("/")).cast("int"), F.lit(0))
 
 
 def turn_durations(events: DataFrame) -> DataFrame:
     """(log, line_no, session_id, seconds) of each response: the time since the last boundary event before it."""
-    before = F.last(F.when(F.col("type").isin(*BOUNDARY), F.col("ts")), ignorenulls=True).over(_by_time().rowsBetween(Window.unboundedPreceding, -1))
-    rows = ordered(events).withColumn("since", before).where("type = 'assistant_response'")
+    acts = ordered(events).where(F.col("type").isin(*BOUNDARY)).select(*SESSION, *BY_TIME, "type")
+    rows = running(acts, SESSION, BY_TIME, lasts={"since": F.col("ts")}).where("type = 'assistant_response'")
     return rows.select("log", "line_no", "session_id", seconds_between(F.col("since"), F.col("ts")).alias("seconds"))
 
 
@@ -51,11 +58,9 @@ def skill_durations(events: DataFrame) -> DataFrame:
     waited adds up the time before each question of the assistant since the activity before it; active is the
     rest; turns are its responses and one.
     """
-    acts = ordered(events).where(F.col("type").isin(*BOUNDARY))
-    slash = F.coalesce((F.col("type") == "user_prompt") & F.col("prompt").startswith("/"), F.lit(False))
-    island = F.sum(slash.cast("int")).over(_by_time())
-    wait = F.when(F.col("type") == "ai_question", seconds_between(F.lag("ts").over(_by_time()), F.col("ts"))).otherwise(0)
-    marked = acts.withColumns({"island": island, "wait": wait}).where("island > 0")
+    acts = ordered(events).where(F.col("type").isin(*BOUNDARY)).select(*SESSION, *BY_TIME, "type", "prompt")
+    wait = F.when(F.col("type") == "ai_question", seconds_between(F.col("since"), F.col("ts"))).otherwise(0)
+    marked = running(acts, SESSION, BY_TIME, {"island": _slash()}, {"since": F.col("ts")}).withColumn("wait", wait).where("island > 0")
     per = marked.groupBy("session_id", "island").agg(
         F.min("ts").alias("started"),
         F.min_by("prompt", F.struct("ts", "log", "line_no")).alias("prompt"),
@@ -69,16 +74,15 @@ def skill_durations(events: DataFrame) -> DataFrame:
 
 def last_of_skill(events: DataFrame) -> DataFrame:
     """(log, line_no) of the skill_duration events to keep: the last one of each skill's range."""
-    rows = ordered(events)
-    slash = F.coalesce((F.col("type") == "user_prompt") & F.col("prompt").startswith("/"), F.lit(False))
-    marked = rows.withColumn("island", F.sum(slash.cast("int")).over(_by_time())).where("type = 'skill_duration'")
-    last = Window.partitionBy("session_id", "island").orderBy(F.desc("ts"), F.desc("log"), F.desc("line_no"))
-    return marked.withColumn("n", F.row_number().over(last)).where("n = 1").select("log", "line_no")
+    rows = ordered(events).where("type in ('user_prompt', 'skill_duration')").select(*SESSION, *BY_TIME, "type", "prompt")
+    marked = running(rows, SESSION, BY_TIME, {"island": _slash()}).where("type = 'skill_duration'")
+    return marked.groupBy("session_id", "island").agg(F.max(F.struct(*BY_TIME)).alias("last")).select("last.log", "last.line_no")
 
 
 def turns(events: DataFrame) -> DataFrame:
     """(session_id, turn, started, events, response): each user prompt begins a turn; its last response counts."""
-    marked = ordered(events).withColumn("turn", F.sum((F.col("type") == "user_prompt").cast("int")).over(_by_time())).where("turn > 0")
+    rows = ordered(events).select(*SESSION, *BY_TIME, "type", "response")
+    marked = running(rows, SESSION, BY_TIME, {"turn": F.coalesce((F.col("type") == "user_prompt").cast("int"), F.lit(0))}).where("turn > 0")
     return marked.groupBy("session_id", "turn").agg(
         F.min("ts").alias("started"),
         F.count("*").alias("events"),
@@ -95,4 +99,12 @@ def report(events: DataFrame, domain: Column) -> DataFrame:
     own = rows.where(domain).select("session_id").distinct()
     kept = rows.where(domain | (F.col("domain") == SHARED)).join(own, "session_id", "left_semi")
     first = kept.groupBy("session_id").agg(F.min("ts").alias("first_seen"))
-    return kept.join(first, "session_id").withColumn("n", F.row_number().over(_by_time())).select("session_id", "first_seen", "n", "type", "log", "line_no")
+    placed = numbered(kept.select(*SESSION, *BY_TIME, "type"), SESSION, BY_TIME, "n")
+    return placed.join(first, "session_id").select("session_id", "first_seen", (F.col("n") + 1).alias("n"), "type", "log", "line_no")
+
+
+def prompt_list(events: DataFrame) -> DataFrame:
+    """(session_id, n, line): each session's prompts as the lines of a numbered list."""
+    rows = ordered(events).where("type = 'user_prompt'").select(*SESSION, *BY_TIME, "prompt")
+    n = F.col("n") + 1
+    return numbered(rows, SESSION, BY_TIME, "n").select("session_id", n.alias("n"), F.concat(n.cast("string"), F.lit(". "), F.coalesce("prompt", F.lit(""))).alias("line"))

@@ -92,12 +92,10 @@ def e_11(spark: SparkSession, d: str) -> DataFrame:
     return _events(spark, d).where("duration_seconds is not null").select("log", "line_no", E.show_seconds(F.col("duration_seconds")).alias("shown"))
 
 
-@query("e_12", EV + f", t as (select *, row_number() over ({WIN}) as n from ev where type = 'user_prompt') select sid as session_id, string_agg(n || '. ' || coalesce(prompt, ''), chr(10) order by n) as listing from t group by sid")
+@query("e_12", EV + f"select sid as session_id, row_number() over ({WIN}) as n, row_number() over ({WIN}) || '. ' || coalesce(prompt, '') as line from ev where type = 'user_prompt'")
 def e_12(spark: SparkSession, d: str) -> DataFrame:
-    """Each session's prompts as a numbered list."""
-    rows = E.ordered(_events(spark, d)).where("type = 'user_prompt'").withColumn("n", F.row_number().over(E._by_time()))
-    listed = F.array_sort(F.collect_list(F.struct("n", F.concat(F.col("n").cast("string"), F.lit(". "), F.coalesce("prompt", F.lit(""))).alias("t"))))
-    return rows.groupBy("session_id").agg(F.array_join(F.transform(listed, lambda x: x["t"]), "\n").alias("listing"))
+    """Each session's prompts as the lines of a numbered list."""
+    return E.prompt_list(_events(spark, d))
 
 
 # ------------------------------------------------------------------- freshness

@@ -89,11 +89,23 @@ def x_04(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("diag_id").agg(F.count("*").alias("n"), F.min(X.may_clean(F.col("page_count"), F.col("estimated_input_tokens"))).alias("may_clean"))
 
 
-@query("x_05")
+#: A field is free of quotes or wholly enclosed in them; a record is fields and commas up to a break.
+_FIELD = r'"(?:[^"]|"")*"|[^",\r\n]*'
+
+
+@query("x_05", rf"""with t as (select result_id, regexp_replace(markdown, '^\x{{FEFF}}', '') as t from parse_result where regexp_matches(markdown, '^[^,\s#][^,\n]*(,[^,\n]+)+\n')),
+r as (select result_id, regexp_extract_all(t || chr(10), '((?:{_FIELD})(?:,(?:{_FIELD}))*)(?:\r\n|\r|\n)', 1) as r from t where regexp_full_match(t, '(?:{_FIELD})((?:,|\r\n|\r|\n)(?:{_FIELD}))*')),
+c as (select result_id, list_filter(list_transform(r, lambda x: list_transform(regexp_extract_all(x || ',', '({_FIELD}),', 1), lambda f: trim(case when f like '"%' then replace(f[2:-2], '""', '"') else f end))), lambda x: len(list_filter(x, lambda f: f <> '')) > 0) as c from r),
+k as (select result_id, list_transform(c, lambda r: list_transform(r, lambda f: replace(replace(replace(f, '|', '\|'), chr(13), ''), chr(10), ' '))) as k from c),
+w as (select result_id, k, len(k[1]) as n from k)
+select q.result_id, '| ' || array_to_string(k[1], ' | ') || ' |' || chr(10) || '| ' || array_to_string(list_transform(k[1], lambda h: repeat('-', greatest(3, length(h))::int)), ' | ') || ' |'
+  || array_to_string(list_transform(k[2:], lambda r: chr(10) || '| ' || array_to_string(list_transform(range(n), lambda i: coalesce(r[i + 1], '')), ' | ') || ' |'), '') as markdown,
+  len(list_distinct(list_transform(k, lambda r: len(r)))) > 1 as ragged
+from (select distinct result_id from t) q left join w on w.result_id = q.result_id""")
 def x_05(spark: SparkSession, d: str) -> DataFrame:
     """Comma-separated results as pipe tables."""
     rows = read_table(spark, d, "parse_result").where(r"markdown rlike '^[^,\\s#][^,\n]*(,[^,\n]+)+\n'")
-    return rows.select("result_id", X.csv_table(F.col("markdown")).alias("markdown"), X.ragged(F.col("markdown")).alias("ragged"))
+    return X.csv_tables(rows.select("result_id", F.col("markdown").alias("text")))
 
 
 @query("x_08", r"""select module, '| ' || string_agg(column_name, ' | ' order by pos) || ' |' || chr(10) || '| ' || string_agg(repeat('-', greatest(3, length(column_name))::int), ' | ' order by pos) || ' |' || chr(10) || '| ' || string_agg(leaf_type, ' | ' order by pos) || ' |' as markdown

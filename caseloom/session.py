@@ -27,10 +27,13 @@ def local_session(cores: str = "8", app: str = "caseloom") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    It is what ``spark.checkpoint.dir`` names; only where that is unset, as in tests, a temporary one is set.
+    It is what ``spark.checkpoint.dir`` names; only where that is unset and there is but one machine, as in tests,
+    a temporary one is set. On a cluster without the setting this raises: executors would each write to their own disk.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-caseloom-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
