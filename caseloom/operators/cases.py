@@ -60,3 +60,9 @@ def boundaries(thresholds: DataFrame, group: str, value: str, covered: DataFrame
     """(group, value): one below, at and one above each threshold, without those that covered has."""
     around = thresholds.select(group, F.explode(F.array(*[F.col(value) + k for k in (-1, 0, 1)])).alias(value)).distinct()
     return around.join(covered.select(group, value).distinct(), [group, value], "left_anti")
+
+
+def coverage(pairs: DataFrame, value: str, group: str) -> DataFrame:
+    """(value, having, lacking): in how many of all groups a value of distinct (group, value) occurs, and in how many not."""
+    groups = pairs.select(F.count_distinct(group).alias("__groups"))
+    return pairs.groupBy(value).agg(F.count("*").alias("having")).crossJoin(F.broadcast(groups)).select(value, "having", (F.col("__groups") - F.col("having")).alias("lacking"))

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
 from functools import reduce
 from itertools import count
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseloom.operators.ranking import numbered
+
+#: The sections of a catalogue, verbs and endings that names go without.
 SECTIONS = ("inputs", "computed", "outputs")
 VERBS = ("determine", "assess", "compute", "evaluate", "calculate")
 STAGES = ("_test", "_check", "_evaluation")
@@ -63,13 +63,6 @@ def merge(existing: DataFrame, incoming: DataFrame, keys: list[str], scalars: li
     )
 
 
-def provenance(observations: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Each entry with its distinct observations in the order they were made."""
-    first = observations.groupBy(*keys, "policy_phrase", "source_doc", "section").agg(F.min(F.struct(*order)).alias("at"))
-    seen = F.array_sort(F.collect_list(F.struct("at", "policy_phrase", "source_doc", "section")))
-    return first.groupBy(*keys).agg(F.transform(seen, lambda s: F.struct(s["policy_phrase"].alias("policy_phrase"), s["source_doc"].alias("source_doc"), s["section"].alias("section"))).alias("observations"))
-
-
 def look_up(phrases: DataFrame, entries: DataFrame) -> DataFrame:
     """phrases (phrase_id, phrase, source_doc) each with its best entry of the same plain phrase: from the same
     document first, then by entity and name."""
@@ -91,11 +84,18 @@ def unresolved(references: DataFrame, names: DataFrame) -> DataFrame:
     return references.join(names.select("name").distinct(), "name", "left_anti")
 
 
-def disagreements(left: DataFrame, right: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(key, field, left, right): fields that both sides give and give differently."""
+def disagreements(left: DataFrame, right: DataFrame, key: str, fields: list[str], module: str | None = None) -> DataFrame:
+    """(key, field, left, right): fields that both sides give and give differently.
+
+    With module, both sides hold several; each pair of them is compared once and named left_module, right_module.
+    """
     both = left.alias("l").join(right.alias("r"), key)
+    named = []
+    if module:
+        both = both.where(F.col(f"l.{module}") < F.col(f"r.{module}"))
+        named = [F.col(f"l.{module}").alias("left_module"), F.col(f"r.{module}").alias("right_module")]
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"l.{f}").cast("string").alias("left"), F.col(f"r.{f}").cast("string").alias("right")) for f in fields])
-    return both.select(key, F.inline(F.filter(pairs, lambda p: p["left"] != p["right"])))
+    return both.select(*named, key, F.inline(F.filter(pairs, lambda p: p["left"] != p["right"])))
 
 
 def stage(text: Column) -> Column:
@@ -129,30 +129,19 @@ def newest_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFr
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+#: Rows of a key that one digest covers.
+WALK = 1024
+
+
 def walk_digests(rows: DataFrame, key: str, order: list[str], total: str) -> DataFrame:
-    """(key, total, digest): how many rows a key has, and the MD5 of their texts in order, joined by line breaks.
+    """(key, block, total, digest): a key's rows in order, in blocks of WALK, and the MD5 of a block's texts.
 
-    A key's rows go through its task one by one, sorted by Spark: neither array nor joined text is ever held.
+    A text is the columns of order joined by bars, a block's texts are joined by line breaks. Rows are numbered in
+    ranges, so a key of any size has blocks of one size.
     """
-
-    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name, n, md5 = None, 0, hashlib.md5()
-        for batch in batches:
-            done = []
-            for value, text in zip(batch[key], batch["text"]):
-                if n and value == name:
-                    md5.update(b"\n")
-                else:
-                    if n:
-                        done.append((name, n, md5.hexdigest()))
-                    name, n, md5 = value, 0, hashlib.md5()
-                md5.update(text.encode())
-                n += 1
-            yield pd.DataFrame(done, columns=[key, total, "digest"])
-        yield pd.DataFrame([(name, n, md5.hexdigest())] if n else [], columns=[key, total, "digest"])
-
-    walked = rows.repartition(key).sortWithinPartitions(key, *order).select(key, "text")
-    return walked.mapInPandas(digests, f"{key} string, {total} bigint, digest string")
+    placed = numbered(rows, [key], order).withColumn("block", F.expr(f"nth div {WALK}"))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("nth", F.concat_ws("|", *order).alias("text")))), lambda x: x["text"])
+    return placed.groupBy(key, "block").agg(F.count("*").alias(total), F.md5(F.array_join(texts, "\n")).alias("digest"))
 
 
 def by_time(rows: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:

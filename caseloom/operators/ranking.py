@@ -14,6 +14,14 @@ def _ranged(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return materialize(df.repartitionByRange(parts, *keys, *order).withColumn("__range", F.spark_partition_id()), "ranges")
 
 
+def _beside(rows: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with what totals has for their key and range; null keys match each other."""
+    on = rows["__range"] == totals["__range"]
+    for k in keys:
+        on = on & rows[k].eqNullSafe(totals[k])
+    return rows.join(totals, on).drop(*[totals[k] for k in [*keys, "__range"]])
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "nth", total: str = "of") -> DataFrame:
     """df with name, counting from 0 within keys by order, and total, the number of rows of the key.
 
@@ -26,14 +34,13 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "nth"
     before = by_key.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), F.sum("__n").over(by_key).alias(total))
     within = ranged.withColumn("__at", F.row_number().over(Window.partitionBy(*keys, "__range").orderBy(*order)) - 1)
-    return within.join(offsets, [*keys, "__range"]).withColumn(name, F.col("__at") + F.col("__before")).drop("__range", "__at", "__before")
+    return _beside(within, offsets, keys).withColumn(name, F.col("__at") + F.col("__before")).drop("__range", "__at", "__before")
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None) -> DataFrame:
     """df with each of sums, added up to and with the row, and each of lasts, its last value that is not null before the row.
 
-    Each range runs on its own; what the ranges before it come to is carried over. Ties go in any order; keys must
-    not be null.
+    Each range runs on its own; what the ranges before it come to is carried over. Ties go in any order.
     """
     sums, lasts = sums or {}, lasts or {}
     ranged = _ranged(df.withColumns({f"__s_{n}": c for n, c in sums.items()} | {f"__l_{n}": c for n, c in lasts.items()}), keys, order)
@@ -45,6 +52,6 @@ def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Co
         *keys, "__range", *[F.sum(f"__s_{n}").over(by_range).alias(f"__cs_{n}") for n in sums], *[F.last(f"__l_{n}", ignorenulls=True).over(by_range).alias(f"__cl_{n}") for n in lasts]
     )
     within = ranged.withColumns({f"__ws_{n}": F.sum(f"__s_{n}").over(here.rowsBetween(Window.unboundedPreceding, 0)) for n in sums} | {f"__wl_{n}": F.last(f"__l_{n}", ignorenulls=True).over(prior) for n in lasts})
-    both = within.join(carried, [*keys, "__range"])
+    both = _beside(within, carried, keys)
     out = {n: F.col(f"__ws_{n}") + F.coalesce(f"__cs_{n}", F.lit(0)) for n in sums} | {n: F.coalesce(f"__wl_{n}", f"__cl_{n}") for n in lasts}
     return both.withColumns(out).select(*df.columns, *out)

@@ -15,6 +15,7 @@ from caseloom.operators import structural_csv as S
 from caseloom.operators.decisions import Rule
 from caseloom.operators.observations import unpacked
 from caseloom.plans import registry
+from caseloom.plans.logs import TOLD
 from caseloom.session import materialize, read_table
 
 LINE = ["l_orderkey", "l_linenumber", "l_quantity"]
@@ -55,7 +56,7 @@ def d_01(spark: SparkSession, d: str) -> DataFrame:
     return _lines(spark, d).select(*LINE, (QTY * 2 + 1).alias("v"))
 
 
-@query("d_02", f"select l_orderkey, l_linenumber, l_quantity, case when qty < 20 and qty % 2 = 0 and qty > 12 then null when qty < 20 and qty > 12 then 'small' when qty < 20 then 'small' when qty % 2 = 0 then 'even' end as v, case when qty < 20 and qty % 2 = 0 then 'conflict' when qty < 20 or qty % 2 = 0 then 'value' else 'none' end as status from {SRC} where not (qty < 20 and qty % 2 = 0 and qty <= 12)")
+@query("d_02", f"select l_orderkey, l_linenumber, l_quantity, case when qty < 20 and qty % 2 = 0 then null when qty < 20 then 'small' when qty % 2 = 0 then 'even' end as v, case when qty < 20 and qty % 2 = 0 then 'conflict' when qty < 20 or qty % 2 = 0 then 'value' else 'none' end as status from {SRC}")
 def d_02(spark: SparkSession, d: str) -> DataFrame:
     """Guarded definitions of which exactly one must hold; others are reported."""
     rules = [Rule("small", QTY < 20, F.lit("small")), Rule("even", QTY % 2 == 0, F.lit("even"))]
@@ -103,7 +104,7 @@ def d_10(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("after", F.col("before") - N._div(F.col("before"), F.lit(10).cast("bigint")))
 
 
-@query("d_11", "select l_orderkey, l_linenumber, l_quantity, p_size as size, p_partkey is not null as found from lineitem left join (select p_partkey, p_size from part where p_partkey % 7 <> 0) on p_partkey = l_partkey")
+@query("d_11", "select l_orderkey, l_linenumber, l_quantity, p_size as size, p_partkey is not null as found from lineitem left join part on p_partkey = l_partkey")
 def d_11(spark: SparkSession, d: str) -> DataFrame:
     """A table looked up by key, misses included."""
     table = read_table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size")
@@ -181,11 +182,35 @@ def c_04(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", N.parse_cents(F.col("t")).alias("cents"))
 
 
+#: The lines of cases in SQL: lines parts them, faults has a row for each failure, good those without any.
+_FIELD = r'"(?:[^"]|"")*"|[^",\r\n]*'
+LINES = rf"""with spec as (select distinct module from import_line where module is not null), cols as (
+  select module, k as pos, c as column_name, 'string' as leaf_type, false as optional, null::varchar[] as enum_values from spec, (values (-3, 'case_id'), (-2, 'short_description'), (-1, 'description')) h(k, c)
+  union all select module, pos * 10, column_name, leaf_type, coalesce(optional, false), enum_values from field_spec
+  union all select module, k, c, 'string', true, null from spec, (values (1000001, 'tags'), (1000002, 'notes')) t(k, c)),
+place as (select *, row_number() over (partition by module order by pos) as i from cols), width as (select module, count(*) as n from cols group by module),
+raw as (select distinct line_id, import_file, module, row_num, line from import_line where line is not null and row_num is distinct from 1 and not regexp_matches(line, '^\s*"?\s*#desc\s*"?\s*(,|$)')),
+cut as (select *, regexp_full_match(line, '(?:{_FIELD})((?:,|\r\n|\r|\n)(?:{_FIELD}))*') as fine, regexp_replace(line, '[\r\n]+$', '') as solid from raw),
+split as (select *, list_transform(regexp_extract_all(solid || ',', '({_FIELD})(?:,|\r|\n)', 1), lambda f: trim(case when f like '"%' then replace(f[2:-2], '""', '"') else f end, e' \t\n\r\x0b\x0c')) as f from cut),
+lines as (select s.*, n from split s left join width w on w.module = s.module where not (fine and len(f) = coalesce(n, 5) and len(list_filter(f[4:], lambda x: x <> '')) = 0)),
+cells as (select line_id, import_file, l.module, row_num, column_name, leaf_type, optional, enum_values, f[i] as v, i from lines l join place p on p.module = l.module where fine and len(f) = n),
+checked as (select *, case when v = '' then case when not optional then 'MISSING_REQUIRED' end
+  when leaf_type = 'bool' and v not in ('true', 'True', 'TRUE', '1', 'false', 'False', 'FALSE', '0') then 'INVALID_BOOL' when leaf_type = 'int' and not regexp_full_match(v, '[+-]?[0-9]+') then 'INVALID_INT'
+  when leaf_type = 'float' and not regexp_full_match(v, '[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?') then 'INVALID_FLOAT'
+  when leaf_type = 'money' and not regexp_full_match(v, '-?\$?([0-9]+|[0-9]{{1,3}}(,[0-9]{{3}})+)(\.[0-9]{{1,2}})?') then 'INVALID_MONEY'
+  when leaf_type = 'date' and not (regexp_full_match(v, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') and try_cast(v as date) is not null) then 'INVALID_DATE'
+  when leaf_type = 'enum' and not coalesce(list_contains(enum_values, v), false) then 'INVALID_ENUM' end as reason from cells),
+faults as (select distinct line_id, '' as column_name, case when not fine then 'BROKEN_QUOTING' else 'WRONG_COLUMN_COUNT' end as reason from lines where not fine or len(f) <> n
+  union select line_id, column_name, reason from checked where reason is not null),
+good as (select line_id, import_file, module, row_num, f[1] as case_id, f[2] as short_description, f[-2] as tags from (select * from lines where line_id not in (select line_id from faults)) qualify row_number() over (partition by line_id order by import_file) = 1) """
+
+
+
 def _faults(spark: SparkSession, d: str) -> DataFrame:
     return S.failures(read_table(spark, d, "import_line"), read_table(spark, d, "field_spec"))
 
 
-@query("c_05")
+@query("c_05", LINES + "select column_name, reason, count(*) as lines from faults where reason like 'INVALID%' group by all")
 def c_05(spark: SparkSession, d: str) -> DataFrame:
     """Values that do not fit their type, by column."""
     return _faults(spark, d).where("reason like 'INVALID%'").groupBy("column_name", "reason").agg(F.count("*").alias("lines"))
@@ -198,7 +223,7 @@ def c_06(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("module").agg(F.sum((F.col("row_num") == 1).cast("int")).cast("bigint").alias("headers"), F.sum(F.col("line").rlike("^#desc").cast("int")).cast("bigint").alias("notes"))
 
 
-@query("c_07")
+@query("c_07", LINES + "select line_id, column_name from faults where reason = 'MISSING_REQUIRED'")
 def c_07(spark: SparkSession, d: str) -> DataFrame:
     """Required values that are missing."""
     return _faults(spark, d).where("reason = 'MISSING_REQUIRED'").select("line_id", "column_name")
@@ -208,13 +233,15 @@ def _cases(spark: SparkSession, d: str) -> DataFrame:
     return S.load_cases(read_table(spark, d, "import_line"), read_table(spark, d, "field_spec"))
 
 
-@query("c_08")
+@query("c_08", LINES + "select line_id, import_file, case_id, count(*) over (partition by import_file, case_id) - 1 as replaced from good qualify row_number() over (partition by import_file, case_id order by row_num desc, line_id desc) = 1")
 def c_08(spark: SparkSession, d: str) -> DataFrame:
     """Of cases that share a case_id in a file, the last."""
     return C.last_wins(_cases(spark, d), ["import_file", "case_id"], ["row_num", "line_id"]).select("line_id", "import_file", "case_id", "replaced")
 
 
-@query("c_11")
+@query("c_11", LINES + """, r as (select g.*, received_at from good g join (select line_id, min(received_at) as received_at from import_line group by line_id) t using (line_id)),
+m as (select make_timestamp(epoch_us(min(received_at)) + (epoch_us(max(received_at)) - epoch_us(min(received_at))) // 2) as middle from r), k as (select module, case_id, bool_or(not coalesce(received_at >= middle, false)) as a, bool_or(coalesce(received_at >= middle, false)) as b from r, m group by all)
+select case when a and b then 'updated' when a then 'kept' else 'added' end as action, count(*) as cases from k group by 1""")
 def c_11(spark: SparkSession, d: str) -> DataFrame:
     """The cases of lines received later put over those received earlier."""
     from caseloom.operators.catalog import by_time
@@ -233,7 +260,7 @@ def c_13(spark: SparkSession, d: str) -> DataFrame:
     return _cases(spark, d).select("line_id", "module", F.array_join(middle, ",").alias("line"))
 
 
-@query("c_15")
+@query("c_15", LINES + "select module, short_description, count(*) as cases, min((import_file, row_num))[1] as first_import_file, min((import_file, row_num))[2] as first_row_num from good where short_description <> '' group by all having count(*) > 1")
 def c_15(spark: SparkSession, d: str) -> DataFrame:
     """Labels used more than once in a module."""
     return C.shared_labels(_cases(spark, d), ["module"], "short_description", ["import_file", "row_num"])
@@ -278,13 +305,13 @@ def c_21(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("l_linenumber > 3").drop("l_linenumber").subtract(rows.where("l_linenumber <= 3").drop("l_linenumber"))
 
 
-@query("c_22")
+@query("c_22", LINES + r""", t as (select distinct module, unnest(regexp_split_to_array(tags, '\s*;\s*')) as tag from good)
+select tag, count(*) as modules, (select count(distinct module) from t where tag <> '') - count(*) as lacking from t where tag <> '' group by tag""")
 def c_22(spark: SparkSession, d: str) -> DataFrame:
-    """Tags that a module's cases lack, of all tags in use."""
+    """Each tag in use: how many modules have cases with it, and how many of those with tags lack it."""
     cell = F.get(F.filter("cells", lambda c: c["column_name"] == "tags"), F.lit(0))["value"]["text"]
-    tags = _cases(spark, d).select("module", F.explode(F.split(F.coalesce(cell, F.lit("")), r"\s*;\s*")).alias("tag")).where("tag <> ''").distinct()
-    wanted = tags.select("module").distinct().crossJoin(tags.select("tag").distinct())
-    return wanted.join(tags, ["module", "tag"], "left_anti")
+    tags = materialize(_cases(spark, d).select("module", F.explode(F.split(F.coalesce(cell, F.lit("")), r"\s*;\s*")).alias("tag")).where("tag <> ''").distinct(), "tags")
+    return C.coverage(tags, "tag", "module").select("tag", F.col("having").alias("modules"), "lacking")
 
 
 @query("c_25", r"""with n as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) as i, unnest(string_split(text, chr(10))) as line from documents where text is not null),
@@ -329,7 +356,10 @@ def k_03(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.regexp_extract("text", r"(?m)^#{0,3} *Module ([A-Z][A-Za-z0-9_]*)", 1).alias("module"), F.size(F.regexp_extract_all("text", F.lit(r"(?m)^scope ([A-Z][A-Za-z0-9]*):"), F.lit(1))).alias("scopes"))
 
 
-@query("k_04")
+@query("k_04", DEFS.replace("with b as", "with recursive b as") + """, links as (select distinct src, name as dst from u), nodes as (select src as node from links union select dst from links),
+far as (select src, dst from links union select far.src, links.dst from far join links on links.src = far.dst), bad as (select src as node from far where src = dst union select dst from far where src in (select src from far where src = dst)),
+walk as (select node, 0 as depth from nodes where node not in (select dst from links) union select links.dst, walk.depth + 1 from walk join links on links.src = walk.node where links.dst not in (select node from bad))
+select node, (select max(depth) from walk where walk.node = nodes.node)::int as depth from nodes""")
 def k_04(spark: SparkSession, d: str) -> DataFrame:
     """In what order names can be computed; null for those on or behind a cycle, which have no such place."""
     return G.topological(G.edges(_defs(spark, d), loops=True))
@@ -396,7 +426,7 @@ def k_20(spark: SparkSession, d: str) -> DataFrame:
     return _lines(spark, d).groupBy(G.bucket(*_SCORES).alias("bucket")).agg(F.count("*").alias("items"), F.min("l_orderkey").alias("first"), F.max("l_orderkey").alias("last"))
 
 
-@query("k_22", "select result_id, count(*) as phrases from (select distinct source_doc, policy_phrase from observations where policy_phrase is not null and source_doc is not null) o join parse_result p on p.source = replace(o.source_doc, '.md', '.pdf') where contains(p.markdown, o.policy_phrase) group by 1")
+@query("k_22", TOLD + "select result_id, count(*) as phrases from (select distinct source_doc, policy_phrase from told where policy_phrase is not null and source_doc is not null) o join parse_result p on p.source = replace(o.source_doc, '.md', '.pdf') where contains(p.markdown, o.policy_phrase) group by 1")
 def k_22(spark: SparkSession, d: str) -> DataFrame:
     """Phrases that stand word for word in their source."""
     said = unpacked(read_table(spark, d, "observations")).where("policy_phrase is not null and source_doc is not null").select(F.replace("source_doc", F.lit(".md"), F.lit(".pdf")).alias("source"), "policy_phrase").distinct()
@@ -450,7 +480,10 @@ def k_23(spark: SparkSession, d: str) -> DataFrame:
     return marked.groupBy("doc_id", F.expr("(n + 1) div 2").alias("block")).agg(F.coalesce(kind, F.lit("")).alias("kind"), F.sum((~F.col("fence")).cast("int")).cast("bigint").alias("lines"))
 
 
-@query("f_14")
+@query("f_14", DEFS.replace("with b as", "with recursive b as") + """, needs as (select distinct src, name as dst from u where src <> name),
+late as (select distinct name from defs join documents using (doc_id) where added_at >= (select date_trunc('month', min(added_at)) + interval 1 month from documents where text is not null)),
+far as (select name, 0 as distance from late union select needs.dst, far.distance + 1 from far join needs on needs.src = far.name where far.distance < (select count(distinct dst) from needs))
+select name, min(distance)::int as distance from far group by name""")
 def f_14(spark: SparkSession, d: str) -> DataFrame:
     """Names that change with those that documents define after the first month, and over how many steps."""
     from caseloom.operators import catalog
@@ -462,7 +495,7 @@ def f_14(spark: SparkSession, d: str) -> DataFrame:
     return catalog.propagate(late.select("name"), links.select(F.col("dst").alias("name"), F.col("src").alias("needs")))
 
 
-@query("m_06", """with e as (select domain, entry_section, policy_phrase, list_sort(list_distinct(list(entry_name))) as names from observations where entry_name is not null and policy_phrase is not null group by all)
+@query("m_06", TOLD + """, e as (select domain, entry_section, policy_phrase, list_sort(list_distinct(list(entry_name))) as names from told where entry_name is not null and policy_phrase is not null group by all)
 select domain, entry_section, policy_phrase, array_to_string(list_sort(list_distinct(list_append(names, lower(names[1])))), ',') as synonyms from e""")
 def m_06(spark: SparkSession, d: str) -> DataFrame:
     """All names that one phrase of a section goes by, a prior name among them."""

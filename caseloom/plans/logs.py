@@ -11,6 +11,7 @@ from caseloom.operators import catalog as C
 from caseloom.operators import freshness as H
 from caseloom.operators import telemetry as E
 from caseloom.operators.observations import FIELDS, unpacked
+from caseloom.operators.ranking import numbered
 from caseloom.plans.registry import query
 from caseloom.session import read_table
 
@@ -100,18 +101,33 @@ def e_12(spark: SparkSession, d: str) -> DataFrame:
 
 # ------------------------------------------------------------------- freshness
 
-#: The listing is each source's latest conversion, the index its earliest.
-LISTED = """with l as (select source as path, source_sha256 as sha from (select *, row_number() over (partition by source order by converted_at desc nulls last, diag_id desc) as n from conversion_diagnostics where source is not null) where n = 1),
-x as (select source as path, source_sha256 as sha, (abs(hash_score) % 100)::int as score from (select *, coalesce(page_count, 0) * 7 + 31 as hash_score, row_number() over (partition by source order by converted_at nulls first, diag_id, coalesce(page_count, 0)) as n from conversion_diagnostics where source is not null) where n = 1),
-e as (select distinct source as path from parse_result where source is not null) """
+#: A manifest's file is one path at many times: the index has its last state in the first half of all time, the
+#: listing its last state in the second half; derived is what some state with observations was made from.
+_SHA = r"sha1(('blob ' || strlen(body))::blob || '\x00'::blob || encode(body))"
+LISTED = f"""with m as (select make_timestamp(epoch_us(min(committed_at)) + (epoch_us(max(committed_at)) - epoch_us(min(committed_at))) // 2) as middle from naming_manifest where path is not null and body is not null),
+w as (select path, {_SHA} as sha, (strlen(body) % 100)::int as score, committed_at >= middle as later, committed_at, file_id from naming_manifest, m where path is not null and body is not null and committed_at is not null),
+v as (select *, row_number() over (partition by path, later order by committed_at desc, file_id desc, sha) as n from w),
+l as (select path, sha from v where n = 1 and later), x as (select path, sha, score from v where n = 1 and not later),
+e as (select distinct path from naming_manifest where path is not null and contains(body, 'policy_phrase')) """
 
 
 def _listing(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = read_table(spark, d, "conversion_diagnostics").where("source is not null")
-    now = H.latest(rows, "source", ["converted_at", "diag_id"]).select(F.col("source").alias("path"), F.col("source_sha256").alias("sha"))
-    old = C.newest_per_key(rows.withColumn("p", F.coalesce("page_count", F.lit(0))), ["source"], ["converted_at", "diag_id", "p"])
-    index = old.select(F.col("source").alias("path"), F.col("source_sha256").alias("sha"), ((F.col("p") * 7 + 31) % 100).cast("int").alias("score"))
-    return now, index, read_table(spark, d, "parse_result").where("source is not null").select(F.col("source").alias("path")).distinct()
+    rows = read_table(spark, d, "naming_manifest").where("path is not null and body is not null")
+    states = rows.where("committed_at is not null").withColumns({"sha": H.blob_sha(F.col("body")), "score": (F.octet_length("body") % 100).cast("int")})
+    of = lambda half: half.groupBy("path").agg(F.min_by(F.struct("sha", "score"), F.struct(-F.unix_micros("committed_at"), -F.col("file_id"), F.col("sha"))).alias("s")).select("path", "s.*")
+    earlier, later = C.by_time(states.select("path", "sha", "score", "committed_at", "file_id"), "committed_at")
+    return of(later).select("path", "sha"), of(earlier), rows.where(F.contains("body", F.lit("policy_phrase"))).select("path").distinct()
+
+
+#: The same of conversions: each source's latest one is the listing, the first one on record the index.
+CONVERTED = """with l as (select source as path, source_sha256 as sha from (select *, row_number() over (partition by source order by converted_at desc nulls last, diag_id desc) as n from conversion_diagnostics where source is not null) where n = 1),
+x as (select source as path, source_sha256 as sha from (select *, row_number() over (partition by source order by converted_at nulls first, diag_id, coalesce(page_count, 0)) as n from conversion_diagnostics where source is not null) where n = 1) """
+
+
+def _conversions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = read_table(spark, d, "conversion_diagnostics").where("source is not null").select(F.col("source").alias("path"), F.col("source_sha256").alias("sha"), "converted_at", "diag_id", F.coalesce("page_count", F.lit(0)).alias("p"))
+    now = rows.groupBy("path").agg(F.max_by("sha", F.struct("converted_at", "diag_id")).alias("sha"))
+    return now, rows.groupBy("path").agg(F.min_by("sha", F.struct("converted_at", "diag_id", "p")).alias("sha"))
 
 
 @query("f_01", r"""select doc_id, sha1(('blob ' || strlen(text))::blob || '\x00'::blob || encode(text)) as sha from documents where text is not null""")
@@ -137,13 +153,12 @@ def f_03(spark: SparkSession, d: str) -> DataFrame:
     return H.recorded_drift("guidance", index, now)
 
 
-@query("f_04", """with l as (select source as path, source_sha256 as sha from (select *, row_number() over (partition by source order by converted_at desc nulls last, diag_id desc) as n from conversion_diagnostics where source is not null) where n = 1),
-r as (select source as path, arg_min(source_sha256, diag_id) as sha from conversion_diagnostics where source is not null group by source)
+@query("f_04", LISTED + f""", r as (select path, sha from (select path, {_SHA} as sha, row_number() over (partition by path order by file_id, {_SHA}) as n from naming_manifest where path is not null and body is not null) where n = 1)
 select 'rules' as tier, 'rules_stale' as category, r.path from r left join l on l.path = r.path where l.sha is null or l.sha <> r.sha""")
 def f_04(spark: SparkSession, d: str) -> DataFrame:
     """Of several records of a path, the first by place counts."""
-    rows = read_table(spark, d, "conversion_diagnostics").where("source is not null")
-    return H.recorded_drift("rules", rows.select(F.col("source").alias("path"), F.col("source_sha256").alias("sha"), F.col("diag_id").alias("pos")), _listing(spark, d)[0])
+    rows = read_table(spark, d, "naming_manifest").where("path is not null and body is not null").withColumn("sha", H.blob_sha(F.col("body")))
+    return H.recorded_drift("rules", rows.select("path", "sha", F.struct("file_id", "sha").alias("pos")), _listing(spark, d)[0])
 
 
 @query("f_05", LISTED + ", s as (select count(*) as n from x left join l on l.path = x.path where l.sha is null or l.sha <> x.sha) select tier, rank::int as rank, case when tier = 'guidance' then n else 0 end::bigint as drifted from s, (values ('facets', 0), ('guidance', 1), ('rules', 2), ('tests', 3)) t(tier, rank)")
@@ -152,9 +167,9 @@ def f_05(spark: SparkSession, d: str) -> DataFrame:
     return H.tier_summary(f_03(spark, d))
 
 
-@query("f_08", LISTED + "select coalesce(l.path, x.path) as path, case when l.path is null then 'delete' when not regexp_matches(l.path, '\\.md$') then 'skipped' when l.sha = x.sha then 'noop' else 'work' end as action from l full join x on l.path = x.path".replace("\\\\", "\\"))
+@query("f_08", CONVERTED + "select coalesce(l.path, x.path) as path, case when l.path is null then 'delete' when not regexp_matches(l.path, '\\.md$') then 'skipped' when l.sha = x.sha then 'noop' else 'work' end as action from l full join x on l.path = x.path".replace("\\\\", "\\"))
 def f_08(spark: SparkSession, d: str) -> DataFrame:
-    now, index, _ = _listing(spark, d)
+    now, index = _conversions(spark, d)
     return H.plan(now, index)
 
 
@@ -166,12 +181,12 @@ def f_09(spark: SparkSession, d: str) -> DataFrame:
     return H.plan(rows.select("path", "sha"), recorded, rows.where("id % 3 = 0").select("path"))
 
 
-@query("f_10", LISTED + """, p as (select coalesce(l.path, x.path) as path, case when l.path is null then 'delete' when not regexp_matches(l.path, '\\.md$') then 'skipped' when l.sha = x.sha then 'noop' else 'work' end as action from l full join x on l.path = x.path),
+@query("f_10", CONVERTED + """, p as (select coalesce(l.path, x.path) as path, case when l.path is null then 'delete' when not regexp_matches(l.path, '\\.md$') then 'skipped' when l.sha = x.sha then 'noop' else 'work' end as action from l full join x on l.path = x.path),
 m as (select source as path, arg_max(case when cleanup_applied then 'succeeded' when cleanup_applied is null then 'in_progress' else 'failed' end, diag_id) as status from conversion_diagnostics where source is not null group by source)
 select p.path, case when action = 'delete' then 'pruned' when action = 'work' then case status when 'succeeded' then 'recorded' when 'failed' then 'failed' else 'aborted' end else 'kept' end as outcome from p left join m on m.path = p.path""".replace("\\\\", "\\"))
 def f_10(spark: SparkSession, d: str) -> DataFrame:
     """Outcomes of a plan by its markers; the conversions' cleanup stands for the work."""
-    now, index, _ = _listing(spark, d)
+    now, index = _conversions(spark, d)
     rows = read_table(spark, d, "conversion_diagnostics").where("source is not null")
     status = F.when(F.col("cleanup_applied"), "succeeded").when(F.col("cleanup_applied").isNull(), "in_progress").otherwise("failed")
     return H.finalize(H.plan(now, index), rows.select(F.col("source").alias("src"), status.alias("status"), F.col("diag_id").alias("at")))
@@ -197,8 +212,15 @@ def _observations(spark: SparkSession, d: str) -> DataFrame:
     return unpacked(read_table(spark, d, "observations"))
 
 
+KEYS = ["domain", "entry_section", "entry_name"]
 ENTRY = "entry_section is not null and entry_name is not null"
 
+#: The observations in SQL, payload unpacked where the columns are null.
+TOLD = """with told as (select obs_id, domain, entry_section, entry_name, observed_at, case when inside then p->>'policy_phrase' else policy_phrase end as policy_phrase,
+  case when inside then p->>'source_doc' else source_doc end as source_doc, case when inside then p->>'section' else section end as section
+  from (select *, try_cast(payload as json) as p, coalesce(policy_phrase, source_doc, section) is null and payload is not null as inside from observations)) """
+MIDDLE = "(select make_timestamp(epoch_us(min(observed_at)) + (epoch_us(max(observed_at)) - epoch_us(min(observed_at))) // 2) from told where entry_section is not null and entry_name is not null)"
+
 
 @query("m_02", r"""select obs_id, regexp_extract(entry_section, '^[a-z]+') as section, nullif(regexp_extract(entry_section, '^inputs\.(.*)$', 1), '') as entity from observations where regexp_matches(entry_section, '^(inputs\.[A-Z][A-Za-z0-9]*|computed|outputs)$')""")
 def m_02(spark: SparkSession, d: str) -> DataFrame:
@@ -206,19 +228,11 @@ def m_02(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("obs_id", "s.section", "s.entity")
 
 
-M5 = f"""with o as (select domain, entry_section, entry_name, policy_phrase, source_doc, section, min(obs_id) as seen from observations where {ENTRY} group by all) """
-
-
-@query("m_05", M5 + "select domain, entry_section, entry_name, count(*) as distinct_observations, string_agg(seen::varchar, ',' order by seen) as in_order from o group by all")
+@query("m_05", TOLD + f", o as (select domain, entry_section, entry_name, min(obs_id) as seen from told where {ENTRY} group by domain, entry_section, entry_name, policy_phrase, source_doc, section) select *, row_number() over (partition by domain, entry_section, entry_name order by seen) as place from o")
 def m_05(spark: SparkSession, d: str) -> DataFrame:
     """Each entry's observations, each once and in the order they were made (nulls compare as equal)."""
-    rows = _observations(spark, d).where(ENTRY)
-    first = rows.groupBy("domain", "entry_section", "entry_name", "policy_phrase", "source_doc", "section").agg(F.min("obs_id").alias("at"))
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list("at")), lambda x: x.cast("string")), ",")
-    return first.groupBy("domain", "entry_section", "entry_name").agg(F.count("*").alias("distinct_observations"), listed.alias("in_order"))
-
-
-KEYS = ["domain", "entry_section", "entry_name"]
+    first = _observations(spark, d).where(ENTRY).groupBy(*KEYS, *FIELDS).agg(F.min("obs_id").alias("seen"))
+    return numbered(first.select(*KEYS, "seen"), KEYS, ["seen"], "place").select(*KEYS, "seen", (F.col("place") + 1).alias("place"))
 
 
 def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -228,7 +242,14 @@ def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return of(earlier), of(later)
 
 
-@query("m_03")
+SIDES = TOLD + f""", o as (select *, coalesce(observed_at >= {MIDDLE}, false) as later from told where {ENTRY}),
+s as (select domain, entry_section, entry_name, bool_or(not later) as a, bool_or(later) as b from o group by all) """
+
+
+@query("m_03", SIDES + """, p as (select domain, entry_section, entry_name, arg_min_null(policy_phrase, obs_id) filter (not later) as pa, arg_min_null(policy_phrase, obs_id) filter (later) as pb from o group by all),
+t as (select domain, entry_section, entry_name, count(*)::int as observations from (select distinct domain, entry_section, entry_name, policy_phrase, source_doc, section from told) group by all)
+select s.domain, s.entry_section, s.entry_name, coalesce(pa, pb) as phrase, observations, case when a and b then 'merged' when a then 'kept' else 'added' end as action
+from s join p on s.domain is not distinct from p.domain and s.entry_section = p.entry_section and s.entry_name = p.entry_name join t on s.domain is not distinct from t.domain and s.entry_section = t.entry_section and s.entry_name = t.entry_name""")
 def m_03(spark: SparkSession, d: str) -> DataFrame:
     """Entries of earlier observations merged with those of later ones."""
     merged = C.merge(*_halves(spark, d), KEYS, ["phrase"], []).alias("m")
@@ -238,8 +259,7 @@ def m_03(spark: SparkSession, d: str) -> DataFrame:
     return merged.join(told, same).select(*[f"m.{k}" for k in KEYS], "phrase", "observations", "action")
 
 
-@query("m_07", f"""with o as (select distinct domain, entry_section, entry_name, obs_id from observations where {ENTRY}) select domain, entry_section, entry_name from o where obs_id % 2 = 1
-  except select domain, entry_section, entry_name from o where obs_id % 3 = 0""")
+@query("m_07", SIDES + "select domain, entry_section, entry_name from s where not b")
 def m_07(spark: SparkSession, d: str) -> DataFrame:
     """Entries no longer mentioned."""
     merged = C.merge(*_halves(spark, d), ["domain", "entry_section", "entry_name"], [], [], keep_unmentioned=False)
@@ -250,16 +270,13 @@ def m_07(spark: SparkSession, d: str) -> DataFrame:
   from (select distinct domain, entry_section, entry_name from observations where entry_section is not null and entry_name is not null)""")
 def m_08(spark: SparkSession, d: str) -> DataFrame:
     """Entries in their usual order within a domain."""
-    from pyspark.sql import Window
-
     section = F.regexp_extract("entry_section", "^[a-z]+", 0)
     rows = read_table(spark, d, "observations").where(ENTRY).select("domain", "entry_section", "entry_name").distinct()
-    place = F.row_number().over(Window.partitionBy("domain").orderBy(C.section_rank(section), "entry_section", "entry_name"))
-    return rows.select("domain", "entry_name", section.alias("section"), place.alias("place"))
+    placed = numbered(rows.withColumn("rank", C.section_rank(section)), ["domain"], ["rank", "entry_section", "entry_name"], "place")
+    return placed.select("domain", "entry_name", section.alias("section"), (F.col("place") + 1).alias("place"))
 
 
-@query("m_09", f"""with o as (select distinct domain, entry_section, entry_name, obs_id from observations where {ENTRY}), e as (select distinct domain, entry_section, entry_name from o where obs_id % 2 = 1), i as (select distinct domain, entry_section, entry_name from o where obs_id % 3 = 0)
-select case when a = 1 and b = 1 then 'merged' when a = 1 then 'kept' else 'added' end as action, count(*) as entries from (select max(a) as a, max(b) as b from (select *, 1 as a, 0 as b from e union all select *, 0, 1 from i) group by domain, entry_section, entry_name) group by 1""")
+@query("m_09", SIDES + "select case when a and b then 'merged' when a then 'kept' else 'added' end as action, count(*) as entries from s group by 1")
 def m_09(spark: SparkSession, d: str) -> DataFrame:
     return C.merge(*_halves(spark, d), ["domain", "entry_section", "entry_name"], [], []).groupBy("action").agg(F.count("*").alias("entries"))
 
@@ -267,12 +284,12 @@ def m_09(spark: SparkSession, d: str) -> DataFrame:
 PLAIN = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(policy_phrase)), '^(the|an|a)\s+', ''), '[^\w\s]', '', 'g'), '\s+', ' ', 'g'))"
 
 
-@query("m_12", f"select obs_id, {PLAIN} as plain from observations where policy_phrase is not null")
+@query("m_12", TOLD + f"select obs_id, {PLAIN} as plain from told where policy_phrase is not null")
 def m_12(spark: SparkSession, d: str) -> DataFrame:
     return _observations(spark, d).where("policy_phrase is not null").select("obs_id", C.plain_phrase(F.col("policy_phrase")).alias("plain"))
 
 
-@query("m_13", f"""with p as (select obs_id, entry_name, coalesce(entry_section, '') as entity, source_doc, {PLAIN} as plain from observations where policy_phrase is not null),
+@query("m_13", TOLD + f""", p as (select obs_id, entry_name, coalesce(entry_section, '') as entity, source_doc, {PLAIN} as plain from told where policy_phrase is not null),
 b as (select plain, source_doc, min((entity, entry_name)) as e from p where plain <> '' group by all), a as (select plain, min((entity, entry_name)) as e from p where plain <> '' group by all)
 select p.obs_id as phrase_id, coalesce(b.e, a.e)[2] as name from p left join b on b.plain = p.plain and b.source_doc = p.source_doc left join a on a.plain = p.plain where p.plain <> ''""")
 def m_13(spark: SparkSession, d: str) -> DataFrame:
@@ -289,27 +306,29 @@ def v_01(spark: SparkSession, d: str) -> DataFrame:
     return C.unresolved(refs, read_table(spark, d, "observations").select(F.col("entry_name").alias("name")).where("name is not null")).select("module", "name")
 
 
-@query("v_02", """with a as (select * from field_spec where module = 'earnings'), b as (select * from field_spec where module = 'eligibility')
-select column_name, 'leaf_type' as field, a.leaf_type as "left", b.leaf_type as "right" from a join b using (column_name) where a.leaf_type <> b.leaf_type
-union all select column_name, 'optional', a.optional::varchar, b.optional::varchar from a join b using (column_name) where a.optional <> b.optional""")
+@query("v_02", """with p as (select a.module as left_module, b.module as right_module, column_name, a.pos as lp, b.pos as rp, a.description as ld, b.description as rd, a.enum_values::varchar as le, b.enum_values::varchar as re, a.optional::varchar as lo, b.optional::varchar as ro from field_spec a join field_spec b using (column_name) where a.module < b.module)
+select left_module, right_module, column_name, 'pos' as field, lp::varchar as "left", rp::varchar as "right" from p where lp <> rp union all select left_module, right_module, column_name, 'description', ld, rd from p where ld <> rd
+union all select left_module, right_module, column_name, 'optional', lo, ro from p where lo <> ro""")
 def v_02(spark: SparkSession, d: str) -> DataFrame:
     """Where two modules describe one column differently."""
-    spec = read_table(spark, d, "field_spec")
-    return C.disagreements(spec.where("module = 'earnings'"), spec.where("module = 'eligibility'"), "column_name", ["leaf_type", "optional"])
+    spec = read_table(spark, d, "field_spec").select("module", "column_name", "pos", "description", "optional")
+    return C.disagreements(spec, spec, "column_name", ["pos", "description", "optional"], "module")
 
 
-@query("v_03", "select obs_id, case when policy_phrase is null and payload is null then 'no_phrase' when (source_doc is null) <> (section is null) then 'unpaired' end as fault from observations where (policy_phrase is null and payload is null) or (source_doc is null) <> (section is null)")
+@query("v_03", TOLD + "select obs_id, case when policy_phrase is null then 'no_phrase' else 'unpaired' end as fault from told where policy_phrase is null or (source_doc is null) <> (section is null)")
 def v_03(spark: SparkSession, d: str) -> DataFrame:
     """Observations that lack what provenance needs."""
     fault = F.when(F.col("policy_phrase").isNull(), "no_phrase").when(F.col("source_doc").isNull() != F.col("section").isNull(), "unpaired")
     return _observations(spark, d).select("obs_id", fault.alias("fault")).where("fault is not null")
 
 
-@query("v_04", "select distinct entry_name as name from observations where entry_name is not null and entry_name not in (select column_name from field_spec)")
+@query("v_04", """with n as (select distinct e->>'name' as name from (select unnest(json_extract(try_cast(body as json), '$.entries[*]')) as e from naming_manifest) where json_type(e) = 'OBJECT')
+select name from n where name is not null and name not in (select entry_name from observations where entry_name is not null)""")
 def v_04(spark: SparkSession, d: str) -> DataFrame:
-    """Entries that no column refers to."""
-    names = read_table(spark, d, "observations").select(F.col("entry_name").alias("name")).where("name is not null").distinct()
-    return C.unresolved(names, read_table(spark, d, "field_spec").select(F.col("column_name").alias("name")))
+    """Entries of manifests that no observation is of."""
+    entries = F.from_json("body", "entries array<struct<name: string>>")["entries"]
+    names = read_table(spark, d, "naming_manifest").select(F.explode(F.transform(entries, lambda e: e["name"])).alias("name")).where("name is not null").distinct()
+    return C.unresolved(names, read_table(spark, d, "observations").select(F.col("entry_name").alias("name")).where("name is not null"))
 
 
 @query("g_01", r"""select distinct entry_name, nullif(regexp_replace(lower(trim(entry_name)), '(_test|_check|_evaluation)$', ''), '') as stage from observations where entry_name is not null""")
@@ -341,22 +360,22 @@ def e_15(spark: SparkSession, d: str) -> DataFrame:
     return activity(_events(spark, d)).select("session_id", F.unix_micros("window_start").alias("window_us"), "prompts", "responses", "questions")
 
 
-@query("m_11", """with o as (select entry_name, policy_phrase, source_doc, section from observations where entry_name is not null group by all)
-select entry_name, count(*) as observations, md5(string_agg(coalesce(source_doc, '~') || '|' || coalesce(section, '~') || '|' || coalesce(policy_phrase, '~'), chr(10) order by coalesce(source_doc, '~') collate C, coalesce(section, '~') collate C, coalesce(policy_phrase, '~') collate C)) as digest from o group by 1""")
+_WALK = "coalesce(source_doc, '~') collate C, coalesce(section, '~') collate C, coalesce(policy_phrase, '~') collate C"
+
+
+@query("m_11", TOLD + f""", o as (select distinct entry_name, policy_phrase, source_doc, section from told where entry_name is not null), r as (select *, (row_number() over (partition by entry_name order by {_WALK}) - 1) // {C.WALK} as block from o)
+select entry_name, block, count(*) as observations, md5(string_agg(coalesce(source_doc, '~') || '|' || coalesce(section, '~') || '|' || coalesce(policy_phrase, '~'), chr(10) order by {_WALK})) as digest from r group by all""")
 def m_11(spark: SparkSession, d: str) -> DataFrame:
-    """Each name's observations over all documents, walked in order of document and section."""
+    """Each name's observations over all documents, walked in order of document and section, a digest for each block."""
     rows = _observations(spark, d).where("entry_name is not null").select("entry_name", "policy_phrase", "source_doc", "section").distinct()
     tilde = lambda c: F.coalesce(F.col(c), F.lit("~"))
-    text = F.concat_ws("|", "a", "b", "c")
     walked = rows.select("entry_name", tilde("source_doc").alias("a"), tilde("section").alias("b"), tilde("policy_phrase").alias("c"))
-    return C.walk_digests(walked.withColumn("text", text), "entry_name", ["a", "b", "c"], "observations")
+    return C.walk_digests(walked, "entry_name", ["a", "b", "c"], "observations")
 
 
 @query("f_06", LISTED + "select 1::int as rank, x.path, row_number() over (order by x.path) as place from x left join l on l.path = x.path where l.sha is null or l.sha <> x.sha")
 def f_06(spark: SparkSession, d: str) -> DataFrame:
     """Drift in the order of a report; ranges of paths are numbered on their own and then put together."""
-    from caseloom.operators.ranking import numbered
-
     ranks = F.create_map(*[F.lit(x) for i, t in enumerate(H.TIERS) for x in (t, i)])
     rows = f_03(spark, d).select(F.element_at(ranks, F.col("tier")).alias("rank"), "path")
     return numbered(rows, ["rank"], ["path"], "place").select("rank", "path", (F.col("place") + 1).alias("place"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caseloom.operators.freshness import blob_sha
+from caseloom.session import materialize
 
 EVENT = (
     "ts timestamp, session_id string, type string, domain string, prompt string, response string, question string, answer string, cmd string, exit_code int, "
@@ -32,11 +33,29 @@ def session_logs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
 
 
 def raw_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """(import_file, line) of comma-separated files below folder; quoted line breaks stay within a line's record."""
-    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(folder, wholetext=True)
-    # a break ends a record where an even number of quotes stands before it
-    records = F.split("value", r'\r?\n(?=(?:[^"]*"[^"]*")*[^"]*$)')
-    return whole.select(F.col("_metadata.file_path").alias("import_file"), F.posexplode(records).alias("at", "line")).select("import_file", (F.col("at") + 1).alias("row_num"), "line").where("line <> ''")
+    """(import_file, row_num, line) of comma-separated files below folder; quoted line breaks stay within a line's record.
+
+    Files are read in blocks, wherever these begin. A line break ends a record where the number of quotes before it
+    in the file is even: lines count theirs within a block, and blocks add what the blocks before them hold, of which
+    there are few. Blank records are left out, but counted.
+    """
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").option("lineSep", "\n").text(folder)
+    lines = materialize(text.select(F.col("_metadata.file_path").alias("import_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value"), "csv-lines")
+    within = Window.partitionBy("import_file", "block").orderBy("at")
+    before = within.rowsBetween(Window.unboundedPreceding, -1)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    odd = lambda c, w: F.pmod(F.coalesce(F.sum(c).over(w), F.lit(0)), F.lit(2))
+    blocks = lines.groupBy("import_file", "block").agg(F.sum(quotes).alias("q"))
+    by_block = Window.partitionBy("import_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    parity = materialize(blocks.select("import_file", "block", odd("q", by_block).alias("open")), "csv-blocks")
+    opened = lines.join(parity, ["import_file", "block"]).withColumn("starts", (F.pmod(odd(quotes, before) + F.col("open"), F.lit(2)) == 0).cast("int"))
+    counted = materialize(opened.withColumn("nth", F.sum("starts").over(within)), "csv-records")
+    totals = counted.groupBy("import_file", "block").agg(F.max("nth").alias("records"))
+    offsets = totals.select("import_file", "block", F.coalesce(F.sum("records").over(by_block), F.lit(0)).alias("offset"))
+    # a record that goes on into the next block has there the number of the last one begun before it
+    whole = counted.join(offsets, ["import_file", "block"]).groupBy("import_file", (F.col("nth") + F.col("offset")).cast("int").alias("row_num")).agg(F.array_sort(F.collect_list(F.struct("block", "at", "value"))).alias("parts"))
+    line = F.regexp_replace(F.array_join(F.transform("parts", lambda p: p["value"]), "\n"), "\r$", "")
+    return whole.select("import_file", "row_num", line.alias("line")).where("line <> ''")
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:
@@ -47,16 +66,28 @@ def write_json_lines(df: DataFrame, path: str) -> None:
 def replace_table(df: DataFrame, path: str) -> None:
     """Overwrites the table at path with one made from it: written beside it first, then put in its place.
 
-    A reader meanwhile sees the old table or the new one; after a crash the old one is still whole.
+    Files have no swap: between two renames there is a moment without a table. A crash then leaves the old one whole
+    beside it, and the next call puts it back before anything else; recover_table does the same for readers.
     """
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fresh, old = jvm.org.apache.hadoop.fs.Path(path + ".new"), jvm.org.apache.hadoop.fs.Path(path + ".old")
     df.write.mode("overwrite").parquet(path + ".new")
-    fs.delete(old, True)
+    recover_table(spark, path)
+    fs, (target, fresh, old) = _paths(spark, path)
     if fs.exists(target):
+        fs.delete(old, True)
         fs.rename(target, old)
     fs.rename(fresh, target)
     fs.delete(old, True)
+
+
+def recover_table(spark: SparkSession, path: str) -> None:
+    """Puts the old table back where a replacement broke off between its renames."""
+    fs, (target, _, old) = _paths(spark, path)
+    if not fs.exists(target) and fs.exists(old):
+        fs.rename(old, target)
+
+
+def _paths(spark: SparkSession, path: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    target = at(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), (target, at(path + ".new"), at(path + ".old"))

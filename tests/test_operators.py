@@ -98,7 +98,10 @@ def test_markup(spark):
     got = {r.doc_id: r.markdown for r in out.collect()}
     assert "## T" in got[1] and "[link](http://h/b)" in got[1] and "- one\n- two" in got[1] and "x()" not in got[1]
     assert got[2] == "plain\n" and got[3] is None
-    assert one(spark, markup.csv_table(F.lit("a,b\n1,x|y\n"))) == "| a | b |\n| --- | --- |\n| 1 | x\\|y |"
+    made = markup.csv_tables(spark.createDataFrame([(1, "a,b\n1,x|y\n"), (2, 'h1,h2\n"a, b",c\n'), (3, "a,b\n1"), (4, None), (5, " , \n")], "id int, text string"))
+    got = {r.id: (r.markdown, r.ragged) for r in made.collect()}
+    assert got[1] == ("| a | b |\n| --- | --- |\n| 1 | x\\|y |", False) and got[2] == ("| h1 | h2 |\n| --- | --- |\n| a, b | c |", False)
+    assert got[3] == ("| a | b |\n| --- | --- |\n| 1 |  |", True) and got[4] == (None, None) and got[5] == (None, None)
     rows = markup.sections(spark.createDataFrame([(1, "pre\n# A\nx\n## B\ny\n# C"), (2, None)], "k int, t string"), "k", "t").collect()
     assert {(r.k, r.section, r.heading, r.body) for r in rows} == {(1, 0, None, "pre"), (1, 1, "A", "x\n## B\ny"), (1, 2, "B", "y"), (1, 3, "C", ""), (2, 0, None, "")}
 
@@ -145,3 +148,38 @@ def test_numbering_within_a_large_key(spark):
     rows = spark.range(5000).select(F.when(F.col("id") < 4000, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id")
     got = numbered(rows, ["k"], ["id"]).collect()
     assert all(r.nth == (r.id if r.k == "hot" else 0) and r.of == (4000 if r.k == "hot" else 1) for r in got)
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from caseloom.session import shared_dir
+
+    conf = SimpleNamespace(get=lambda k, d: None)
+    for master in ("yarn", "spark://a:7077", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(ValueError, match="checkpoint.dir"):
+            shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master)))
+
+
+def test_running_values_go_on_over_ranges(spark):
+    from caseloom.operators.ranking import numbered, running
+
+    rows = spark.createDataFrame([(k, i, i if i % 4 == 0 else None) for k in ("a", None) for i in range(40)], "k string, i int, v int")
+    got = {(r.k, r.i): (r.s, r.l) for r in running(rows, ["k"], ["i"], {"s": F.col("i")}, {"l": F.col("v")}).collect()}
+    assert got == {(k, i): (i * (i + 1) // 2, None if i == 0 else (i - 1) // 4 * 4) for k in ("a", None) for i in range(40)}
+    assert {(r.k, r.i): r.nth for r in numbered(rows, ["k"], ["i"]).collect()} == {(k, i): i for k in ("a", None) for i in range(40)}
+
+
+def test_exceptions_of_any_depth_make_a_plan_of_their_length(spark):
+    def nested(depth):
+        rule = Rule("last", F.col("x") > depth, F.lit(depth))
+        for i in reversed(range(depth)):
+            rule = Rule(str(i), F.col("x") >= i, F.lit(i), [rule])
+        return rule
+
+    plan = lambda n: len(spark.range(1).withColumnRenamed("id", "x").select(resolve([nested(n)]).alias("v"))._jdf.queryExecution().optimizedPlan().toString())
+    assert plan(16) < 3 * plan(8)
+    rows = spark.range(20).withColumnRenamed("id", "x").select("x", resolve([nested(12)]).alias("v")).collect()
+    assert [r.v for r in rows] == [min(r.x, 12) for r in rows]

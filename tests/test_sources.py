@@ -16,6 +16,17 @@ def test_folders_as_tables(spark, tmp_path):
     assert [r.line for r in files.raw_lines(spark, str(tmp_path)).orderBy("row_num").collect()] == ['a,"x\ny",1', "b,c,2"]
 
 
+def test_long_files_are_cut_into_records_across_blocks(spark, tmp_path):
+    rows = [f'{i},"x ""{i}""\ny",{"z" * (i % 7)}' if i % 3 else f"{i},plain" for i in range(5000)]
+    (tmp_path / "long.csv").write_text("\r\n".join(rows) + "\r\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = [(r.row_num, r.line) for r in files.raw_lines(spark, str(tmp_path)).orderBy("row_num").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [(i + 1, line) for i, line in enumerate(rows)]
+
+
 def test_logs_and_their_broken_lines(spark, tmp_path):
     good = {"ts": "2024-01-01T00:00:00Z", "session_id": "s", "type": "user_prompt", "prompt": "p"}
     (tmp_path / "session.jsonl").write_text(json.dumps(good) + "\n\n{broken\n" + json.dumps(good | {"type": "assistant_response"}) + "\n")
@@ -39,3 +50,13 @@ def test_a_table_made_from_itself(spark, tmp_path):
     spark.range(3).write.parquet(path)
     files.replace_table(spark.read.parquet(path).withColumn("id", F.col("id") + 1), path)
     assert sorted(r.id for r in spark.read.parquet(path).collect()) == [1, 2, 3]
+
+
+def test_a_replacement_that_broke_off_loses_nothing(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(3).write.parquet(path + ".old")
+    files.recover_table(spark, path)
+    assert spark.read.parquet(path).count() == 3
+    spark.range(4).write.parquet(path + ".old")
+    files.replace_table(spark.range(5), path)
+    assert spark.read.parquet(path).count() == 5

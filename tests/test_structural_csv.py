@@ -4,7 +4,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from caseloom.operators.structural_csv import failures, load_cases, structural_index
+from caseloom.operators.structural_csv import failures, load_cases, split_records, structural_index
 
 SPEC = "module string, pos int, column_name string, leaf_type string, optional boolean, enum_values array<string>, item_type string, description string, is_decision boolean, decision_name string"
 LINE = "line_id bigint, import_file string, module string, row_num int, line string, received_at timestamp, module_name string"
@@ -99,3 +99,26 @@ def test_empty_tables_and_unknown_modules(spark):
     lines, spec = tables(spark, [(1, 2, "a,b,c,d")])
     assert failures(lines.limit(0), spec).count() == 0
     assert [tuple(r) for r in failures(lines, spec.limit(0)).collect()] == [(1, "", "WRONG_COLUMN_COUNT")]
+
+
+def test_nothing_valid_is_lost_on_loading(spark):
+    spec = spark.createDataFrame([("m", 1, "n", "int", False, None)], "module string, pos int, column_name string, leaf_type string, optional boolean, enum_values array<string>")
+    big = "9" * 45
+    rows = spark.createDataFrame([(1, "f", "m", 2, f"c,s,d,{big},,", None), (2, "f", "other", 2, "c,s,d,t,n", None)], "line_id bigint, import_file string, module string, row_num int, line string, received_at timestamp")
+    got = {r.line_id: r.cells for r in load_cases(rows, spec).collect()}
+    cell = next(c for c in got[1] if c.column_name == "n").value
+    assert cell.whole is None and cell.text == big and [c.column_name for c in got[2]] == ["case_id", "short_description", "description", "tags", "notes"]
+
+
+def test_a_line_of_very_many_fields_is_no_stub(spark):
+    names = [(("m"), i, f"c{i}", "string", True, None) for i in range(10_010)]
+    spec = spark.createDataFrame(names, "module string, pos int, column_name string, leaf_type string, optional boolean, enum_values array<string>")
+    line = "c,s,d," + "," * 10_008 + "x,,"
+    rows = spark.createDataFrame([(1, "f", "m", 2, line, None), (2, "f", "m", 2, line.replace("x", ""), None)], "line_id bigint, import_file string, module string, row_num int, line string, received_at timestamp")
+    assert [r.line_id for r in load_cases(rows, spec).select("line_id").collect()] == [1]
+
+
+def test_texts_are_read_record_by_record(spark):
+    rows = spark.createDataFrame([(1, 'a,"b, ""c""\nd"\r\n\n1,2\n'), (2, 'x"y,1'), (3, None), (4, "")], "id int, text string")
+    got = {r.id: r.records for r in split_records(rows).collect()}
+    assert [x for x in got[1] if any(x)] == [["a", 'b, "c"\nd'], ["1", "2"]] and got[2] is None and got[3] is None and got[4] == [[""]]
