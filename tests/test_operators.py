@@ -174,7 +174,7 @@ def test_running_values_go_on_over_ranges(spark):
 
 def test_exceptions_of_any_depth_make_a_plan_of_their_length(spark):
     def nested(depth):
-        rule = Rule("last", F.col("x") > depth, F.lit(depth))
+        rule = Rule("last", F.col("x") >= depth, F.lit(depth))
         for i in reversed(range(depth)):
             rule = Rule(str(i), F.col("x") >= i, F.lit(i), [rule])
         return rule

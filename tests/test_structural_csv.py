@@ -113,7 +113,7 @@ def test_nothing_valid_is_lost_on_loading(spark):
 def test_a_line_of_very_many_fields_is_no_stub(spark):
     names = [(("m"), i, f"c{i}", "string", True, None) for i in range(10_010)]
     spec = spark.createDataFrame(names, "module string, pos int, column_name string, leaf_type string, optional boolean, enum_values array<string>")
-    line = "c,s,d," + "," * 10_008 + "x,,"
+    line = "c,s,d," + "," * 10_009 + "x,,"
     rows = spark.createDataFrame([(1, "f", "m", 2, line, None), (2, "f", "m", 2, line.replace("x", ""), None)], "line_id bigint, import_file string, module string, row_num int, line string, received_at timestamp")
     assert [r.line_id for r in load_cases(rows, spec).select("line_id").collect()] == [1]
 
