@@ -59,6 +59,29 @@ def test_one_table_takes_every_form(spark):
     assert rows[1].optional is True and rows[2].version == "2" and rows[2].other == {"more": "5"}
 
 
+def test_a_column_and_its_other_name_in_one_entry_are_both_kept(spark):
+    a = {"entries": entries(x={"help": "h"}, y={"help": "i"})}
+    b = {"entries": entries(x={"description": "h"}, y={"description": "i"})}
+    c = {"entries": entries(x={"help": "short help", "description": "long text"})}
+    rows = {(r.file_id, r.name): (r.description, r.other) for r in D.one_table(table(spark, [a, b, c])).collect()}
+    assert rows == {(0, "x"): ("h", {}), (0, "y"): ("i", {}), (1, "x"): ("h", {}), (1, "y"): ("i", {}), (2, "x"): ("long text", {"help": "short help"})}
+
+
+def test_a_name_stands_for_a_column_while_it_lasts(spark):
+    """In p the name is given up and later means something else; q never renamed it and follows what others did."""
+    p = [{"entries": entries(x={"old": "1"})}, {"entries": entries(x={"unit": "1"})}, {"entries": entries(x={"unit": "1"})}]
+    q = [{"entries": entries(z={"old": "2", "n": None})}]
+    rows = table(spark, p, "p").unionAll(table(spark, q, "q").selectExpr("file_id + 10 as file_id", "domain", "program", "path", "committed_at", "ingested_at", "body", "nth"))
+    assert {(r.file_id, r.name): r.unit for r in D.one_table(rows).collect()} == {(0, "x"): "1", (1, "x"): "1", (2, "x"): "1", (10, "z"): "2"}
+
+
+def test_of_two_deliveries_that_differ_one_counts_whole(spark):
+    rows = table(spark, [{"a": 1}, {"a": 1, "b": 2}])
+    other = table(spark, [{"a": 1}, {"a": 1, "c": 2}]).where("file_id = 1").selectExpr("file_id", "domain", "program", "path", "committed_at", "ingested_at + interval 1 day as ingested_at", "body", "nth")
+    broken = other.selectExpr("file_id", "domain", "program", "path", "committed_at", "ingested_at - interval 9 days as ingested_at", "'{\"x' as body", "nth")
+    assert [tuple(r) for r in D.changes(rows.unionAll(other).unionAll(broken)).collect()] == [(1, "added", "", "b")]
+
+
 def test_nothing(spark):
     empty = table(spark, [{"a": 1}]).limit(0)
     assert D.changes(empty).count() == 0 and D.lifespans(empty).count() == 0 and D.one_table(empty).count() == 0
