@@ -1,9 +1,12 @@
 """Texts that are no content: unfilled template slots, filler copy, error pages and notices that demand scripts.
 
-Short messages (sentences and lines) are put into a prefix tree of fixed depth: first by their number of words,
-then by their first words, numbers masked. The messages of a leaf become one template where most of their words
-agree, else each is its own. Templates are classified once; their verdicts go back to all messages and are
-summed up for each document. Slots left open inside ordinary text are looked for separately.
+The sentences and lines of all texts, however long, are put into a prefix tree of fixed depth: first by their number
+of words and telling words, then by their first words, numbers masked. In a leaf, messages that agree with its most
+usual words make one template, and what is left is parted once more, so that a leaf can hold several. Templates are
+classified once, by a few seed patterns and by what is learned from those: words that mark templates of the seeds
+against templates of long texts, for templates that stand mostly alone; and templates that come along with error
+messages only. Verdicts go back to all messages and are summed up for each document. Slots left open inside ordinary
+text are looked for separately.
 """
 
 from __future__ import annotations
@@ -13,8 +16,14 @@ from pyspark.sql import functions as F
 
 from caseloom.session import materialize
 
-#: Words below a leaf's path, share of words that a template keeps, and words that a message has at most.
-DEPTH, AGREE, LONGEST = 4, 0.6, 18
+#: First words on a leaf's path, and share of a message's words that must agree with the leaf's usual ones.
+DEPTH, AGREE = 1, 0.6
+
+#: Words of a document in which a message counts as standing alone, and documents' share from which a template does.
+SHORT, ALONE = 60, 0.5
+
+#: Mean weight from which a template that stands alone is an error message, and how many marking words it needs.
+MARKED, MARKS = 1.0, 2
 
 #: Verdicts sent to every task; more are joined by shuffle.
 BROADCAST_MESSAGES = 300_000
@@ -22,7 +31,7 @@ BROADCAST_MESSAGES = 300_000
 #: Other words that an error message may stand beside and still be all there is.
 STRAY_WORDS = 6
 
-_QUOTED = r"(?s)```.*?(```|$)|`[^`\n]{1,80}`|\"[^\"\n]{1,160}\"|“[^”\n]{1,160}”|‘[^’\n]{1,80}’|(?<=[\s(])'[^'\n]{1,60}'(?=[\s.,;:)])|<\|[^|<>\n]{1,30}\|>"
+_QUOTED = r"(?s)```.*?(```|$)|`[^`\n]+`|\"[^\"\n]+\"|“[^”\n]+”|‘[^’\n]+’|(?<=[\s(])'[^'\n]+'(?=[\s.,;:)])|<\|[^|<>\n]+\|>"
 _TAGS = "HTML|HEAD|TITLE|BODY|META|LINK|SCRIPT|STYLE|DIV|SPAN|TABLE|THEAD|TBODY|STRONG|FORM|INPUT|LABEL|NOSCRIPT|IFRAME|CENTER"
 
 #: A text without any of these has no slot; most texts are done with here.
@@ -31,22 +40,22 @@ _MARKS = r"[{}«»<\[%@]|__|\$\$|#[A-Z]|XX|\((?i:enter|insert|fill|type|add)"
 #: The spellings of a slot, and of what a program prints for an empty value.
 SLOTS = r"(?=[{<$«\[(%#_@X])(?:" + "|".join(
     (
-        r"\{\{[^{}\n]{1,60}\}\}",
-        r"\{%[^%{}\n]{1,60}%\}",
-        r"<%=?[^%<>\n]{1,60}%>",
-        r"\$\{[^{}\n]{1,60}\}",
+        r"\{\{[^{}\n]+\}\}",
+        r"\{%[^%{}\n]+%\}",
+        r"<%=?[^%<>\n]+%>",
+        r"\$\{[^{}\n]+\}",
         r"\$\$[A-Za-z_]\w*\$\$",
         r"\{![\w.]+\}",
-        r"\{MERGEFIELD\s[^{}\n]{1,60}\}",
+        r"\{MERGEFIELD\s[^{}\n]+\}",
         r"(?<![\w$\\])\{([a-z][a-z0-9]*(_[a-z0-9]+)*|[0-9]{1,2})\}",
-        r"<<[^<>\n]{1,60}>>",
+        r"<<[^<>\n]+>>",
         r"«[A-Za-z][A-Za-z0-9]*(_[A-Za-z0-9]+)*»",
-        r"\[\[[\w .-]{1,60}\]\]",
-        r"\[(TBD|TBC|TODO|INSERT|ENTER|FILL|YOUR|PLACEHOLDER)\b[^\]\n]{0,60}\](?!\()",
-        r"(?i:\[(insert|enter|your|fill in)\s[^\]\n]{1,60}\])(?!\()",
-        r"\[[A-Z][\w ]{1,50} (here|HERE)\]",
+        r"\[\[[\w .-]+\]\]",
+        r"\[(TBD|TBC|TODO|INSERT|ENTER|FILL|YOUR|PLACEHOLDER)\b[^\]\n]*\](?!\()",
+        r"(?i:\[(insert|enter|your|fill in)\s[^\]\n]+\])(?!\()",
+        r"\[[A-Z][\w ]+ (here|HERE)\]",
         r"\[object Object\]",
-        r"(?i:\((enter|insert|fill in|type your|add your)\s[^)\n]{1,40}\))",
+        r"(?i:\((enter|insert|fill in|type your|add your)\s[^)\n]+\))",
         r"%[A-Z][A-Z0-9]*(_[A-Z0-9]+)*%",
         r"#[A-Z][A-Z0-9]{2,}(_[A-Z0-9]+)*#",
         r"__[A-Z][A-Z0-9]*(_[A-Z0-9]+)*__",
@@ -56,28 +65,34 @@ SLOTS = r"(?=[{<$«\[(%#_@X])(?:" + "|".join(
         r"(?<![\w%])%[sd](?!\w)",
     )
 ) + ")"
-#: The same without marks of their own: what stands there for nothing, where a value should.
-EMPTY_VALUES = "|".join(
-    (
-        r"(?<!\b[Aa]n )(?<!\bis )\bundefined\b(?! (term|behaviou?r|word|concept))|\b(is|at|from|for|about|Date:|Case:) undefined\b",
-        r"(?:\b(Dear|Hello|Bonjour|Estimado/a|Date:|Case:|Name:|Amount:)|\b(amount is|request about|applies from|file for|hearing for|Approved for|office at)) (null|NULL|NaN|None|nil)\b",
-    )
-)
 _NOTHING = ("undefined", "null", "NULL", "NaN", "None", "nil")
+#: What a program prints for nothing, where a value should stand: after a greeting or title, a label, or a word that asks for one.
+EMPTY_VALUES = (
+    r"(?m)(?:^\W*|[.!?]\s+)\p{Lu}\p{L}+(?:/\p{L}+)?(?: \p{L}+){0,3}(?<!\b(?:is|are|was|of|or|as|with|be)) (?:null|NULL|NaN|nil|undefined|None)(?=[,:!]|$)"
+    r"|\b\p{Lu}[\p{L} ]{1,20}: ?(?:null|NULL|NaN|None|nil|undefined)(?=[\s,.;]|$)"
+    r"|\b(?:amount is|at|from|for|about|on|until|by) (?:null|NULL|NaN|nil|undefined|None)(?=[,.;:!?)]|\s*$|\s(?:is|was|has|will|and|at|on|in)\b)"
+    r"|(?<!\b[Aa]n )(?<!\bis )\bundefined\b(?! (?:term|behaviou?r|word|concept))|\bis undefined\b"
+)
 
 #: Syllables of the usual filler Latin.
 _LATIN = r"(?i)^(lo|rem|lor|do|ip|sum|sit|a|met|at|con|sec|te|tur|e|lit|sed|tem|por|in|ci|di|ut|la|bo|re|et|mag|na|li|qua|que|vel|ren|cri|bra|gni|tus|pe|ti|se|sa|ma|or|um|ni|us|is|am|nis|tis|mus)+$"
 
-#: What each kind of message says, tried in this order on a template in lower case.
-KINDS = (
-    ("filler", r"^(lorem ipsum\b.*|(this is |here is )?(an? |some |the )?(sample|placeholder|dummy|example|filler) (document|paragraph|copy|text|content|title|heading|sentence|page)s?\b.{0,30}|\W*(sub)?(title|text|heading|content|name|description|copy|body|image|caption) goes here\W*|\W*bullet point \w+\W*|(section|chapter|text|content|this (section|page|chapter|part)|to)?\W*(is )?(still )?(to )?be (written|completed|added|supplied|filled in|provided|determined|confirmed|announced)( later| soon)?\W*|(content|text|details|more) (to follow|to come|coming soon|follows?)\W*|(please )?(add|enter|insert|write|put|type|replace) (your|the|this|a) \w+( \w+)? (here|text)\W*|(replace|remove|delete|update) (this )?(text )?before (publishing|publication|release|going live)\W*|(todo|tbd|tbc|fixme|xxx+|n/a)\b.{0,40}|\W*(this )?page (is )?(intentionally|deliberately) (left )?blank\W*|coming soon\W*|(item|line|paragraph|row|entry|section|page) \S+ of (sample|placeholder|dummy) (copy|text|content)\b.*|\w+ copy,? not final\W*|(texte?|texto|contenu|contenido) (provisoire|provisional|de (ejemplo|relleno|muestra|remplissage)|d'exemple|fictif)\W*|pendiente de (redacci[oó]n|redactar|completar)\W*|([aà] (r[eé]diger|compl[eé]ter|venir)|contenu [aà] venir|por (redactar|completar|definir))\W*|(beispieltext|platzhaltertext|blindtext|platzhalter)\b.{0,20}|not final copy\W*|draft text\W*)$"),
-    ("error", r"java ?-?script|\bscripts?\b.*\b(allow|enabl|turn|requir|disabl|on|must)|\b(allow|enabl|turn on|requir|disabl)\w* .*\bscript|scripting|<noscript|\bcookies\b.*\benabled|checking your browser|\bbrowser (is )?(not supported|out of date|has)"),
-    ("error", r"^\W*(error|fatal|exception|traceback|warning)\b|\b(error|errno|code)\W* <num>|\berror page\b|^\W*<num> (not found|forbidden|unauthorized|bad|internal|service|gateway|too many|gone|request|conflict|error|moved|payload|method)|^\W*(not found|forbidden|unauthorized|bad gateway|bad request|gateway time-?out|service unavailable|internal server error|too many requests|request time-?out|temporarily unavailable)\b|\"error\"|\w+error: |\w+exception: |^file \"[^\"]*\", line|^at \w+[.(]|relation \".*\" does not exist|^line <num>: (select|insert|update|from)|connection (reset|refused|timed out|closed|lost)|could not (be )?(converted|connect|load|served|found|opened|displayed|open)|failed to (load|open|convert|connect|fetch)|(download|upload|conversion|request|import|export) failed|0 pages found|<num> of <num> files|password protected|did not (answer|respond) within|out of memory|segmentation fault|core dumped|stack trace"),
-    ("error", r"(page|file|document|link|site|address|resource|url|content|service|system)\b.{0,40}\b((cannot|could not|can't|couldn't) be (found|displayed|reached|opened|shown|served)|(was |is |has )?(not (be )?found|gone missing|no longer (available|here)|moved|expired|unavailable|does ?n[o']t exist|missing))\b|(something|that) (went|has gone) wrong|\b(oops|whoops|hmm+|uh-oh)\b|unexpected error|an error (has )?occurred|try again (later|in)|too many requests|rate limit|wait a moment|temporarily (unavailable|down|out)|down for maintenance|under maintenance|maintenance (in progress|mode|window)|scheduled maintenance|be back (soon|shortly|at)|come back (later|at)|service is unavailable|link you followed|(can't|cannot|can not|could not|couldn't) find (what|the page) you"),
-    ("error", r"^\W*(please )?(sign|log) ?in\b|\b(must|need to|have to|please) (sign|log) ?in\b|(sign|log) ?in (to|with|again|required|page)\b|session (has )?(expired|timed out|ended)|sesi[oó]n ha (caducado|expirado|terminado)|session a expir[eé]|^\W*access (is )?(denied|forbidden|restricted)\W*$|(don't|do not|no) have (the )?(permission|access|rights)|not authori[sz]ed to|permission (denied|to view)|your password|create an account|^\W*loading\W*( |$)|please wait|loading\.\.\.|verify (that )?you are (a )?human|captcha"),
-    ("error", r"p[aá]gina (no (encontrada|disponible|existe)|web)|acceso denegado|inicie sesi[oó]n|iniciar sesi[oó]n|error (interno|inesperado|del servidor)|en mantenimiento|cargando|compruebe la direcci[oó]n|page (introuvable|non trouv[eé]e|inexistante)|acc[eè]s (refus[eé]|interdit)|connectez-vous|veuillez (vous )?(connecter|patienter)|erreur (interne|inattendue|du serveur|<num>)|en maintenance|chargement|seite nicht gefunden|zugriff verweigert|bitte (melden|anmelden|warten)|p[aá]gina n[aã]o encontrada|acesso negado|servicio no disponible|service indisponible|int[eé]ntelo (m[aá]s tarde|de nuevo)|r[eé]essayez"),
-    ("frame", r"^\W*(skip to (main )?content|menu|search|contact|home|help|back|reload|privacy|imprint|programs|forms|login|close|next|previous|top|print|share|english|espa[nñ]ol|about|site ?map)(\W+(main|us|content|menu|search|contact|home|help|back|reload|privacy|imprint|programs|forms|top|of|page|start|terms|cookies|about|legal|notice))*\W*$|^\W*(©|\(c\)|copyright)|^(reference|request|incident|ticket|error|trace|correlation) (number|id|code)\b|^\w+( \w+)? portal$|^(go|return) (back )?to the (start|home) ?page|^<num>$|^gateway/|^the requested (address|page|url)\b|^(most recent call last)|^contact (the )?(support|administrator|help ?desk)"),
-)
+#: Fixed values, the seeds of filler and of error messages, on messages in lower case.
+FILLER = r"^(lorem ipsum\b.*|(this is |here is )?(an? |some |the )?(sample|placeholder|dummy|example|filler) (document|paragraph|copy|text|content|title|heading|sentence|page)s?\b.{0,30}|\W*(sub)?(title|text|heading|content|name|description|copy|body|image|caption) goes here\W*|\W*bullet point \w+\W*|(section|chapter|text|content|this (section|page|chapter|part)|to)?\W*(is )?(still )?(to )?be (written|completed|added|supplied|filled in|provided|determined|confirmed|announced)( later| soon)?\W*|(content|text|details|more) (to follow|to come|coming soon|follows?)\W*|(please )?(add|enter|insert|write|put|type|replace) (your|the|this|a) \w+( \w+)? (here|text)\W*|(replace|remove|delete|update) (this )?(text )?before (publishing|publication|release|going live)\W*|(todo|tbd|tbc|fixme|xxx+|n/a)\b.{0,40}|\W*(this )?page (is )?(intentionally|deliberately) (left )?blank\W*|coming soon\W*|(item|line|paragraph|row|entry|section|page) \S+ of (sample|placeholder|dummy) (copy|text|content)\b.*|\w+ copy,? not final\W*|(texte?|texto|contenu|contenido) (provisoire|provisional|de (ejemplo|relleno|muestra|remplissage)|d'exemple|fictif)\W*|pendiente de (redacci[oó]n|redactar|completar)\W*|([aà] (r[eé]diger|compl[eé]ter|venir)|contenu [aà] venir|por (redactar|completar|definir))\W*|(beispieltext|platzhaltertext|blindtext|platzhalter)\b.{0,20}|not final copy\W*|draft text\W*)$"
+ERROR = "|".join(
+    (
+        r"java ?-?script|<noscript|\bscript(s|ing)\b.{0,60}\b(allow|enabl|turn|disabl|switch)|\b(allow|enabl|turn on|activ)\w*\b.{0,40}\bscript|\bscripts must be",
+        r"^\W*(<num> )?(not found|forbidden|unauthorized|bad (gateway|request)|gateway time-?out|service unavailable|internal server error|too many requests)\b(?! [a-z])",
+        r"^\W*(error|fatal|exception|traceback)\b|\"error\"|\w+(error|exception): ",
+        r"\b(down|under|in|scheduled) (for )?maintenance|\bmaintenance (in progress|mode|window)|en (mantenimiento|maintenance)\b",
+        r"^(?!\W*(if|when|where|once|unless)\b).*\b(page|file|document|link|site|address|content)\b.{0,60}\b((could ?n[o']t|cannot|can't|could not|can not) be (found|displayed|reached|opened|shown|served|converted)|(was|is|has) (gone|not (be )?(found|available))|no longer available|gone missing|has expired)",
+        r"\b(something|that) (went|has gone) wrong|unexpected error|(can't|cannot|could not) find (what|the page) you|try again (later|in)|temporarily (unavailable|down)|connection (reset|refused|timed out)|(download|upload|conversion|export|import|request) failed|checking your browser",
+        r"^\W*(please )?(sign|log) ?in\b|\b(must|need to|have to|please) (sign|log) ?in\b|login required|session (has )?(expired|timed out)|^\W*access (is )?denied\W*$|^\W*loading\b",
+        r"p[aá]gina no (encontrada|disponible)|acceso denegado|sesi[oó]n ha caducado|page introuvable|acc[eè]s refus[eé]|session a expir[eé]|seite nicht gefunden",
+    )
+)
+#: Messages that differ in one of these words never share a template.
+TELLING = r"\b(not|no|error|failed|found|denied|expired|scripts?|placeholder|sample|text|here|written|later|null|undefined)\b"
 
 
 def has_slot(text: Column) -> Column:
@@ -90,58 +105,98 @@ def has_slot(text: Column) -> Column:
 
 
 def messages(documents: DataFrame) -> DataFrame:
-    """(row, message, masked, words, parts) of the sentences and lines of each text; markup parts them too."""
+    """(row, masked, words, parts) of the sentences and lines of each text; markup parts them too."""
     uncoded = F.when(F.col("text").contains("```"), F.regexp_replace("text", r"(?s)```.*?(```|$)", "\n")).otherwise(F.col("text"))
     plain = F.regexp_replace(uncoded, r"(?i)</?(html|head|title|body|h[1-6]|hr|p|div|br|noscript|span|a|ul|li|center)\b[^<>]{0,100}>", "\n")
     plain = F.when(F.col("text").contains("<"), plain).otherwise(uncoded)
     said = F.explode(F.filter(F.split(plain, r"(?U)\n+|\r+|(?<=[.!?。！？])\s+"), lambda x: x.rlike(r"(?U)\w")))
     rows = documents.select("row", said.alias("message")).withColumn("message", F.trim(F.regexp_replace("message", r"(?U)\s+", " ")))
     masked = F.regexp_replace(F.regexp_replace(F.lower("message"), r"/[\w/.-]+", "/path"), r"\b[0-9a-f]*[0-9][0-9a-f]*\b", "<num>")
-    parts = F.split("masked", " ")
-    return rows.withColumn("masked", masked).withColumns({"parts": parts, "words": F.size(parts)})
+    return rows.select("row", masked.alias("masked")).withColumn("words", F.size(F.split("masked", " ")))
+
+
+def _grown(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((masked, template) of the messages that agree with their leaf's usual words, the others)."""
+    cells = placed.select("leaf", "masked", F.posexplode("parts").alias("at", "part"))
+    usual = cells.groupBy("leaf", "at", "part").agg(F.count("*").alias("n"))
+    usual = usual.groupBy("leaf", "at").agg(F.max_by("part", F.struct("n", "part")).alias("part"))
+    usual = usual.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda c: c["part"]).alias("usual"))
+    agree = F.zip_with("parts", "usual", lambda a, b: a == b)
+    judged = placed.join(usual, "leaf").withColumn("same", agree)
+    judged = materialize(judged.withColumn("fits", F.size(F.filter("same", lambda x: x)) >= F.size("parts") * AGREE), "grown")
+    # a position is kept where all that fit agree
+    kept = judged.where("fits").select("leaf", F.posexplode("same").alias("at", "same")).groupBy("leaf", "at").agg(F.bool_and("same").alias("kept"))
+    kept = kept.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "kept"))), lambda c: c["kept"]).alias("kept"))
+    made = judged.where("fits").join(kept, "leaf").select("masked", F.array_join(F.zip_with("usual", "kept", lambda u, k: F.when(k, u).otherwise("<*>")), " ").alias("template"))
+    return made, judged.where("not fits").select("masked", "parts", "leaf")
 
 
 def templates(said: DataFrame) -> DataFrame:
-    """(masked, template): the template that each distinct short message belongs to."""
-    distinct = said.where(F.col("words") <= LONGEST).select("masked", "parts", "words").dropDuplicates(["masked"])
-    leaf = F.xxhash64("words", F.slice("parts", 1, DEPTH))
-    placed = materialize(distinct.select("masked", "parts", leaf.alias("leaf")), "messages")
-    at = placed.select("leaf", F.posexplode("parts").alias("at", "part")).groupBy("leaf", "at").agg(F.min("part").alias("low"), F.max("part").alias("high"))
-    kept = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise("<*>")
-    leaves = at.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", kept.alias("part")))).alias("cells"), F.avg((F.col("low") == F.col("high")).cast("int")).alias("agree"))
-    shared = leaves.where(F.col("agree") >= AGREE).select("leaf", F.array_join(F.transform("cells", lambda c: c["part"]), " ").alias("shared"))
-    return placed.join(shared, "leaf", "left").select("masked", F.coalesce("shared", "masked").alias("template"))
+    """(masked, template): the template that each distinct message belongs to; its own where none fits."""
+    distinct = said.select("masked").distinct().withColumn("parts", F.split("masked", " "))
+    telling = F.array_join(F.regexp_extract_all("masked", F.lit(TELLING), F.lit(1)), " ")
+    leaf = F.xxhash64(F.size("parts"), F.slice("parts", 1, DEPTH), telling)
+    first, rest = _grown(materialize(distinct.select("masked", "parts", leaf.alias("leaf")), "messages"))
+    second, left = _grown(rest.select("masked", "parts", F.xxhash64("leaf", F.element_at("parts", -1), F.slice("parts", DEPTH + 1, 1)).alias("leaf")))
+    return first.unionByName(second).unionByName(left.select("masked", F.col("masked").alias("template")))
+
+
+def _words(template: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(template, F.lit(r"[\p{L}']+"), F.lit(0)))
+
+
+def seeded(template: Column) -> Column:
+    """filler, error or null: what the seeds say of a template, filler Latin and one word over and over included."""
+    words = F.filter(F.split(F.regexp_replace(template, r"[.,;:?!]", ""), " "), lambda w: w != "")
+    latin = template.rlike(r"^[a-z ,.;:?!-]{30,}$") & ~template.rlike(r"\b(the|of|and|is|for|with)\b")
+    latin = F.when(latin, F.size(F.filter(words, lambda w: w.rlike(_LATIN))) >= 0.7 * F.size(words)).otherwise(False)
+    return F.when(template.rlike(FILLER) | latin, "filler").when(template.rlike(ERROR), "error")
 
 
-def kind_of(template: Column) -> Column:
-    """filler, error, frame (what stands around a page's content) or null."""
-    out = F.lit(None).cast("string")
-    for kind, says in reversed(KINDS):
-        out = F.when(template.rlike(says), kind).otherwise(out)
-    return out
+def word_weights(known: DataFrame) -> DataFrame:
+    """(word, weight): how much more often a word is in templates that the seeds call errors than in those of long texts.
+
+    known: template, kind and alone. Weights are logarithms of smoothed shares, from -4 to 4; words that no seed has
+    are left out.
+    """
+    marked, plain = (F.col("kind") == "error") & F.col("alone"), ~F.col("alone")
+    counts = known.select(F.explode(_words(F.col("template"))).alias("word"), marked.alias("m"), plain.alias("p"))
+    n = lambda c: F.coalesce(F.sum(F.col(c).cast("int")), F.lit(0))
+    sizes = known.select(F.coalesce(marked, F.lit(False)).alias("m"), plain.alias("p")).agg(n("m").alias("all_m"), n("p").alias("all_p"))
+    by_word = counts.groupBy("word").agg(n("m").alias("m"), n("p").alias("p")).where("m > 0").crossJoin(F.broadcast(sizes))
+    weight = F.log((F.col("m") + 0.3) / (F.col("all_m") + 1)) - F.log((F.col("p") + 0.3) / (F.col("all_p") + 1))
+    return by_word.select("word", F.greatest(F.lit(-4.0), F.least(F.lit(4.0), weight)).alias("weight"))
 
 
 def verdicts(said: DataFrame) -> DataFrame:
-    """(masked, kind) of the messages whose template is of a kind."""
+    """(masked, kind) of the messages whose template is filler, error, or frame (what comes along with error messages).
+
+    said: row, masked, words of all messages. A template that stands mostly alone, and that no seed names, is an error
+    message by its words' mean weight; a template is frame if four of five of its documents are short and have an
+    error message, and there are at least two of them.
+    """
     mined = materialize(templates(said), "templates")
-    # a generator and not a filter, so that no template is classified twice
-    kind = F.explode(F.array_compact(F.array(kind_of(F.col("template")))))
-    judged = mined.select("template").distinct().select("template", kind.alias("kind"))
-    return mined.join(judged, "template").select("masked", "kind")
+    lengths = said.groupBy("row").agg(F.sum("words").alias("length"))
+    held = materialize(said.select("row", "masked").distinct().join(lengths, "row").join(mined, "masked").groupBy("template", "row").agg((F.max("length") <= SHORT).alias("short")), "held")
+    known = held.groupBy("template").agg((F.avg(F.col("short").cast("int")) >= ALONE).alias("alone"))
+    # a generator, so that no template is looked at twice
+    known = materialize(known.select("template", "alone", F.explode(F.array(seeded(F.col("template")))).alias("kind")), "known")
+    weights = materialize(word_weights(known), "weights")
+    asked = known.where("alone and kind is null").select("template", F.size(_words(F.col("template"))).alias("words"), F.explode(_words(F.col("template"))).alias("word"))
+    scored = asked.join(weights, "word").groupBy("template").agg((F.sum("weight") / F.max("words")).alias("mean"), F.sum((F.col("weight") >= MARKED).cast("int")).alias("marks"))
+    learned = scored.where((F.col("mean") >= MARKED) & (F.col("marks") >= MARKS)).select("template", F.lit("error").alias("kind"))
+    named = materialize(known.where("kind is not null").select("template", "kind").unionByName(learned), "named")
+    bad = held.join(named.where("kind = 'error'"), "template", "left_semi").select("row").distinct().withColumn("bad", F.lit(1))
+    along = held.join(named, "template", "left_anti").join(bad, "row", "left").groupBy("template").agg(F.count("*").alias("docs"), F.sum((F.col("bad").isNotNull() & F.col("short")).cast("int")).alias("bad"))
+    frame = along.where("docs >= 2 and bad * 5 >= docs * 4").select("template", F.lit("frame").alias("kind"))
+    return mined.join(named.unionByName(frame), "template").select("masked", "kind")
 
 
 def _repeats(text: Column) -> Column:
-    """Whether the text is one or two words over and over, or filler Latin in part."""
+    """Whether the text is one or two words over and over."""
     words = F.filter(F.split(F.lower(text), r"(?U)\W+"), lambda w: w != "")
     over = (F.size(words) >= 5) & (F.size(F.array_distinct(words)) <= 2)
-    paragraphs = F.split(text, r"\n+")
-    latin = F.exists(
-        paragraphs,
-        lambda p: p.rlike(r"^[A-Za-z ,.;:?!-]{30,}$")
-        & ~p.rlike(r"\b(the|of|and|is|for|with)\b")
-        & (F.size(F.filter(F.split(F.regexp_replace(p, r"[.,;:?!]", ""), r"\s+"), lambda w: w.rlike(_LATIN))) >= 0.7 * F.size(F.split(p, r"\s+"))),
-    )
-    return F.coalesce(over | latin, F.lit(False))
+    return F.coalesce(F.when(text.rlike(r"(?iU)^\W*(\w+)\W+(?:\w+\W+)?\1\b"), over), F.lit(False))
 
 
 def residue(documents: DataFrame) -> DataFrame:
@@ -151,10 +206,10 @@ def residue(documents: DataFrame) -> DataFrame:
     in any part of a text. Null, empty and blank texts hold none. Rows that repeat a document come out once.
     """
     rows = documents.select("doc_id", "text").where(r"text rlike '(?U)\\S'").withColumn("row", F.xxhash64("doc_id", "text"))
-    said = messages(rows)
+    said = materialize(messages(rows), "said")
     found = materialize(verdicts(said), "verdicts")
     few = found.limit(BROADCAST_MESSAGES + 1).count() <= BROADCAST_MESSAGES
-    judged = said.select("row", "masked", "words").join(F.broadcast(found) if few else found, "masked", "left")
+    judged = said.join(F.broadcast(found) if few else found, "masked", "left")
     count = lambda on: F.sum(F.when(on, F.col("words")).otherwise(0))
     other = F.col("kind").isNull() & (F.col("words") > 3)
     sums = judged.groupBy("row").agg(count(F.col("kind") == "filler").alias("filler_words"), count(F.col("kind") == "error").alias("error_words"), count(other).alias("other_words"))

@@ -251,6 +251,29 @@ def test_residue(spark):
     assert residue.residue(rows.limit(0)).count() == 0
 
 
+def test_long_messages_count_like_short_ones(spark):
+    long = "The page that you asked for on our county portal could not be found because it has been moved or deleted or renamed by staff."
+    rows = spark.createDataFrame([(1, long), (2, "Hi null, your file is here."), (3, "Sehr geehrte Frau null, Ihre Akte liegt vor.")], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in residue.residue(rows).collect()) == [1, 2, 3]
+
+
+def test_a_leaf_holds_several_templates(spark):
+    rows = [f"the worker {a} opens the file of the {b} household" for a in ("ann", "bob", "eve") for b in ("first", "second")] + [f"the form {n} goes to archives in spring or fall" for n in "abc"] + ["the end of all this is not here yet at all"]
+    said = spark.createDataFrame([(i, m, len(m.split())) for i, m in enumerate(rows)], "row bigint, masked string, words int")
+    got = {r.masked: r.template for r in residue.templates(said).collect()}
+    assert len(set(got.values())) == 3 and got[rows[0]] == "the worker <*> opens the file of the <*> household" and got[rows[-1]] == rows[-1]
+
+
+def test_errors_without_a_seed_are_learned_from_words(spark):
+    """Messages worded unlike the seeds, held out: their words occur with the seeds' in other messages of short texts."""
+    content = "The county office counts the income of each household member. The worker mails the notice within ten days of the interview. Members report a change of address to the office."
+    known = ["Error: the gateway upstream timed out.", "Error: upstream server overloaded.", "Fatal: gateway overloaded.", "Exception: server timed out.", "Error: gateway crashed, reload the browser.", "Error: server crashed, reload the browser."]
+    held_out = ["Upstream gateway overloaded.", "Server crashed, gateway timed out."]
+    rows = [(i, content * 3 + f" Case {i} is kept.") for i in range(30)] + [(100 + i, t) for i, t in enumerate(known)] + [(200 + i, t) for i, t in enumerate(held_out)] + [(300, "The worker mails the notice.")]
+    got = {r.doc_id for r in residue.residue(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {100, 101, 102, 103, 104, 105, 200, 201}
+
+
 # ---------------------------------------------------------------- conversations
 
 EVENTS = "log string, line_no int, ts timestamp, session_id string, type string, domain string, prompt string, response string, question string, answer string, kind string"
