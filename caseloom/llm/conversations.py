@@ -118,6 +118,8 @@ def _state_on_disk(spark: SparkSession) -> Iterator[None]:
     wanted = {
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        # many small stores: no disk set aside ahead of need
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     }
     with_state = {k: spark.conf.get(k, None) for k in wanted}
     own = with_state["spark.sql.streaming.stateStore.providerClass"]
