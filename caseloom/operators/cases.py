@@ -66,3 +66,12 @@ def coverage(pairs: DataFrame, value: str, group: str) -> DataFrame:
     """(value, having, lacking): in how many of all groups a value of distinct (group, value) occurs, and in how many not."""
     groups = pairs.select(F.count_distinct(group).alias("__groups"))
     return pairs.groupBy(value).agg(F.count("*").alias("having")).crossJoin(F.broadcast(groups)).select(value, "having", (F.col("__groups") - F.col("having")).alias("lacking"))
+
+
+#: The edges at which a numeric column is tried.
+EDGES = ("zero", "negative", "just_below", "exact", "just_above", "very_large", "missing")
+
+
+def scenarios(columns: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """columns with scenario, one row for each of kinds."""
+    return columns.withColumn("scenario", F.explode(F.array(*map(F.lit, kinds))))

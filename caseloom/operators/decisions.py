@@ -116,3 +116,18 @@ def evaluate(cases: DataFrame, outputs: dict[str, Column], codes: dict[str, Colu
     for c in outputs.values():
         decided = decided & c.isNotNull()
     return cases.withColumns({"outputs": out, "reasons": reasons(codes), "decided": decided})
+
+
+def condition(tree: Column | list | dict) -> Column:
+    """A nested condition as one column: a list or all_of holds if all of it does, any_of if any; nothing holds for none."""
+    if isinstance(tree, Column):
+        return tree
+    if isinstance(tree, list):
+        tree = {"all_of": tree}
+    (how, parts), = tree.items()
+    if how not in ("all_of", "any_of"):
+        raise ValueError(f"unknown condition {how}")
+    out = F.lit(how == "all_of")
+    for part in map(condition, parts):
+        out = out & part if how == "all_of" else out | part
+    return out

@@ -87,3 +87,20 @@ def preceding_heading(lines: DataFrame, key: str) -> DataFrame:
 
     w = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     return lines.withColumn("heading", F.last(F.when(F.col("line").rlike(r"^#{1,6} +\S"), F.regexp_extract("line", r"^#{1,6} +(.*?)\s*$", 1)), ignorenulls=True).over(w))
+
+
+def tagged(passes: list[tuple[str, DataFrame]]) -> DataFrame:
+    """(name, reason): every name that any pass (reason, names) finds, with the reason of the first that does."""
+    found = reduce(DataFrame.unionByName, [names.select("name", F.lit(i).alias("rank"), F.lit(reason).alias("reason")) for i, (reason, names) in enumerate(passes)])
+    return found.groupBy("name").agg(F.min_by("reason", "rank").alias("reason"))
+
+
+def review_items(lines: DataFrame, key: str) -> DataFrame:
+    """(key, line_no, heading, first, score) of each fenced block in lines (key, at, line): the heading above it, its
+    first line, and 3 for a score that is not given."""
+    from pyspark.sql import Window
+
+    by_line = Window.partitionBy(key).orderBy("at")
+    fence = F.col("line").rlike("^```")
+    marked = preceding_heading(lines, key).withColumns({"fences": F.sum(fence.cast("int")).over(by_line), "first": F.coalesce(F.lead("line").over(by_line), F.lit(""))})
+    return marked.where(fence & (F.col("fences") % 2 == 1)).select(key, (F.col("at") + 1).alias("line_no"), "heading", "first", F.lit(3).alias("score"))
