@@ -131,13 +131,34 @@ def x_12(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "documents").where("path is not null").select("doc_id", X.safe_name(F.col("path")).alias("name"))
 
 
-@query("h_06")
+def _tidied(source: str) -> str:
+    """SQL that tidies m of source (doc_id, m)."""
+    return rf"""a as (select doc_id, string_split(regexp_replace(m, '\n{{4,}}', chr(10) || chr(10) || chr(10), 'g'), chr(10)) as l from {source}),
+b as (select doc_id, list_transform(l, lambda x, i: case when i < len(l) then regexp_replace(x, ' $', '') else x end) as l from a),
+c as (select doc_id, list_filter(l, lambda x, i: x <> '' or not ((i > 3 and l[i - 1] = '' and l[i - 2] = '') or (i > 2 and i < len(l) and regexp_matches(l[i - 1], '{X.ITEM}') and regexp_matches(l[i + 1], '{X.ITEM}')))) as l from b)
+select doc_id, regexp_replace(array_to_string(l, chr(10)), '^\s+|\s+$', '', 'g') || chr(10) as markdown from c"""
+
+
+def _in_sql(column: str, steps: tuple) -> str:
+    for pattern, new in steps:
+        said = new.replace("$", chr(92)).replace("'", "''").replace("\n", "' || chr(10) || '")
+        column = f"regexp_replace({column}, '{pattern.replace(chr(39), chr(39) * 2)}', '{said}', 'g')"
+    return column
+
+
+@query("h_01", f"select doc_id, md5({_in_sql('text', X.STRIP)}) as digest from documents where regexp_matches(text, '{X.TAGGED}')")
+def h_01(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with tags without what holds no content."""
+    return read_table(spark, d, "documents").where(F.col("text").rlike(X.TAGGED)).select("doc_id", F.md5(X.without_chrome(F.col("text"))).alias("digest"))
+
+
+@query("h_06", f"with s as (select doc_id, {_in_sql('text', (*X.STRIP, *X.MARK))} as m from documents where regexp_matches(text, '{X.TAGGED}')), " + _tidied("s"))
 def h_06(spark: SparkSession, d: str) -> DataFrame:
     """Texts that hold tags as Markdown."""
-    return X.html_to_markdown(read_table(spark, d, "documents").where("text rlike '</?[a-zA-Z][^<>]*>'").select("doc_id", "text", "path"), base="path").select("doc_id", "markdown")
+    return X.html_to_markdown(read_table(spark, d, "documents").where(F.col("text").rlike(X.TAGGED)).select("doc_id", "text")).select("doc_id", "markdown")
 
 
-@query("h_07")
+@query("h_07", "with s as (select doc_id, text as m from documents where text is not null), " + _tidied("s"))
 def h_07(spark: SparkSession, d: str) -> DataFrame:
     """Texts tidied."""
     return read_table(spark, d, "documents").where("text is not null").select("doc_id", X.tidy(F.col("text")).alias("markdown"))

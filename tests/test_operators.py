@@ -98,6 +98,8 @@ def test_markup(spark):
     got = {r.doc_id: r.markdown for r in out.collect()}
     assert "## T" in got[1] and "[link](http://h/b)" in got[1] and "- one\n- two" in got[1] and "x()" not in got[1]
     assert got[2] == "plain\n" and got[3] is None
+    assert one(spark, markup.absolute_links(F.lit('<a href="e$1">a</a> <a href="#x">b</a> <a href="mailto:q@r">c</a>'), F.lit("http://h/c/d"))) == '<a href="http://h/c/e$1">a</a> <a href="#x">b</a> <a href="mailto:q@r">c</a>'
+    assert one(spark, markup.tidy(F.lit("a\n- b\n\n- c\n\n\n\n\nd \ne\n\n"))) == "a\n- b\n- c\n\n\nd\ne\n"
     made = markup.csv_tables(spark.createDataFrame([(1, "a,b\n1,x|y\n"), (2, 'h1,h2\n"a, b",c\n'), (3, "a,b\n1"), (4, None), (5, " , \n")], "id int, text string"))
     got = {r.id: (r.markdown, r.ragged) for r in made.collect()}
     assert got[1] == ("| a | b |\n| --- | --- |\n| 1 | x\\|y |", False) and got[2] == ("| h1 | h2 |\n| --- | --- |\n| a, b | c |", False)
