@@ -131,3 +131,8 @@ def condition(tree: Column | list | dict) -> Column:
     for part in map(condition, parts):
         out = out & part if how == "all_of" else out | part
     return out
+
+
+def trace(rules: dict[str, Column]) -> Column:
+    """ARRAY<STRUCT<step, code, held>>: what each rule came to, in the order of the rules; an unknown one did not hold."""
+    return F.array(*[F.struct(F.lit(i).alias("step"), F.lit(code).alias("code"), F.coalesce(c, F.lit(False)).alias("held")) for i, (code, c) in enumerate(rules.items(), 1)])

@@ -104,3 +104,29 @@ def review_items(lines: DataFrame, key: str) -> DataFrame:
     fence = F.col("line").rlike("^```")
     marked = preceding_heading(lines, key).withColumns({"fences": F.sum(fence.cast("int")).over(by_line), "first": F.coalesce(F.lead("line").over(by_line), F.lit(""))})
     return marked.where(fence & (F.col("fences") % 2 == 1)).select(key, (F.col("at") + 1).alias("line_no"), "heading", "first", F.lit(3).alias("score"))
+
+
+def module_hints(entries: DataFrame, defined: DataFrame, entities: int = 2, rules: int = 3) -> DataFrame:
+    """(hint, key, n): fields that several entities of a file have, and conditions that several rules share.
+
+    A field's running number, and the amounts in a condition, do not matter.
+
+    entries: file_id, entity, name; defined: as definitions gives it.
+    """
+    base = F.regexp_replace("name", "_[0-9]+$", "")
+    mirrored = entries.where("entity is not null").groupBy("file_id", base.alias("name")).agg(F.count_distinct("entity").alias("n")).where(F.col("n") >= entities)
+    mirrored = mirrored.groupBy("name").agg(F.count("*").alias("n")).select(F.lit("mirrored").alias("hint"), F.col("name").alias("key"), "n")
+    gate = F.regexp_replace(F.regexp_extract("body", r"under condition (.*\S)", 1), r"\$?[0-9][0-9,.]*", "#")
+    gates = defined.select(gate.alias("key")).where("key <> ''").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= rules)
+    return mirrored.unionByName(gates.select(F.lit("gate").alias("hint"), "key", "n"))
+
+
+def relevant(documents: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(doc_id, why): citation for texts that cite a section, else vocabulary for those with a word of it; others are left out.
+
+    vocabulary: distinct words.
+    """
+    cites = F.col("text").rlike(r"§ ?[0-9]|[Ss]ection [0-9]+\.[0-9]")
+    words = F.explode(F.array_distinct(F.split("text", "[^A-Za-z0-9_]+")))
+    known = documents.where(~cites).select("doc_id", words.alias("word")).join(vocabulary.select("word"), "word", "left_semi").select("doc_id").distinct()
+    return documents.where(cites).select("doc_id").distinct().withColumn("why", F.lit("citation")).unionByName(known.withColumn("why", F.lit("vocabulary")))

@@ -112,3 +112,21 @@ def merged_groups(existing: DataFrame, candidates: DataFrame) -> DataFrame:
     """(name, description, origin): groups of both; what exists keeps its description, new ones bring theirs."""
     both = existing.select("name", F.col("description").alias("old"), F.lit(True).alias("is_old")).join(candidates.select("name", F.col("description").alias("new")), "name", "full")
     return both.select("name", F.coalesce("old", "new").alias("description"), F.when(F.col("is_old"), "existing").otherwise("new").alias("origin"))
+
+
+def json_form(rows: DataFrame) -> DataFrame:
+    """(file_id, form): table where all entries of a file have the same fields and only plain values, else fenced.
+
+    rows: file_id and e of each entry.
+    """
+    nested = F.exists(F.map_values("e"), lambda v: F.coalesce(_json(v).rlike(r"^[\[{]"), F.lit(False)))
+    fields = F.array_join(F.array_sort(F.map_keys("e")), "\u001f")
+    return rows.groupBy("file_id").agg(F.when((F.count_distinct(fields) == 1) & ~F.bool_or(nested), "table").otherwise("fenced").alias("form"))
+
+
+def chosen_program(candidates: DataFrame, given: Column | None = None) -> DataFrame:
+    """(domain, program, how): the program given, else the only one there is; without a program where several are."""
+    only = candidates.groupBy("domain").agg(F.count_distinct("program").alias("n"), F.min("program").alias("one"))
+    asked = F.lit(None).cast("string") if given is None else given
+    how = F.when(asked.isNotNull(), "given").when(F.col("n") == 1, "single").otherwise("ambiguous")
+    return only.select("domain", F.coalesce(asked, F.when(F.col("n") == 1, F.col("one"))).alias("program"), how.alias("how"))

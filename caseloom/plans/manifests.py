@@ -238,3 +238,66 @@ def h_09(spark: SparkSession, d: str) -> DataFrame:
     from caseloom.operators.markup import with_source
 
     return read_table(spark, d, "documents").where("text is not null and path is not null").select("doc_id", F.md5(with_source(F.col("path"), F.col("text"))).alias("digest"))
+
+
+@query("x_07", ENTRIES + """, k as (select file_id, e, array_to_string(list_sort(json_keys(e)), chr(31)) as keys from entries), n as (select distinct file_id, pos from (select file_id, pos, json_type(json_extract(e, '$."' || k || '"')) as t from (select *, unnest(json_keys(e)) as k from entries)) where t in ('OBJECT', 'ARRAY'))
+select file_id, case when count(distinct keys) = 1 and file_id not in (select file_id from n where file_id is not null) then 'table' else 'fenced' end as form from k group by file_id""")
+def x_07(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each manifest's entries make a table."""
+    return I.json_form(_entries(spark, d).where("size(e) > 0"))
+
+
+@query("x_14", r"select result_id, coalesce(nullif(regexp_replace(regexp_replace(source, '[^A-Za-z0-9._-]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g'), ''), 'document') as name, md5(coalesce(markdown, '')) as markdown_digest, to_json({'result_id': result_id, 'page_count': page_count})::varchar as diagnostics from parse_result where page_count is not null and source is not null")
+def x_14(spark: SparkSession, d: str) -> DataFrame:
+    """What is laid down for each result: its name, its text and its diagnostics."""
+    from caseloom.operators.markup import safe_name
+
+    rows = read_table(spark, d, "parse_result").where("page_count is not null and source is not null")
+    return rows.select("result_id", safe_name(F.col("source")).alias("name"), F.md5(F.coalesce("markdown", F.lit(""))).alias("markdown_digest"), F.to_json(F.struct("result_id", "page_count")).alias("diagnostics"))
+
+
+@query("h_02")
+def h_02(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with tags, links made absolute."""
+    from caseloom.operators.markup import TAGGED, absolute_links
+
+    rows = read_table(spark, d, "documents").where(F.col("text").rlike(TAGGED))
+    return rows.select("doc_id", F.md5(absolute_links(F.col("text"), F.concat(F.lit("http://host/"), F.coalesce("path", F.lit(""))))).alias("digest"))
+
+
+@query("h_05", r"select doc_id, md5(coalesce(" + ", ".join(rf"nullif(trim(regexp_extract(text, '(?is)<{t}\b[^>]*>(.*?)</{t}\s*>', 1)), '')" for t in ("main", "article", "body")) + ", text)) as digest from documents where text is not null")
+def h_05(spark: SparkSession, d: str) -> DataFrame:
+    """The main content of texts."""
+    from caseloom.operators.markup import main_content
+
+    return read_table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(main_content(F.col("text"))).alias("digest"))
+
+
+@query("v_10", "select domain, case when count(distinct program) = 1 then min(program) end as program, case when count(distinct program) = 1 then 'single' else 'ambiguous' end as how from naming_manifest where domain is not null and program is not null group by domain")
+def v_10(spark: SparkSession, d: str) -> DataFrame:
+    """Which program of each domain is meant when none is named."""
+    return I.chosen_program(read_table(spark, d, "naming_manifest").where("domain is not null and program is not null"))
+
+
+@query("e_13", "select l_orderkey, l_linenumber, l_quantity, '1:MANY=' || (l_quantity > 40)::varchar || ' 2:RETURNED=' || (l_returnflag = 'R')::varchar as trace from lineitem")
+def e_13(spark: SparkSession, d: str) -> DataFrame:
+    """What each rule came to, step by step."""
+    steps = R.trace({"MANY": F.col("l_quantity") > 40, "RETURNED": F.col("l_returnflag") == "R"})
+    said = F.array_join(F.transform(steps, lambda s: F.concat(s["step"].cast("string"), F.lit(":"), s["code"], F.lit("="), s["held"].cast("string"))), " ")
+    return read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", said.alias("trace"))
+
+
+@query("k_15", ENTRIES.replace("with files", DEFS.strip() + ", files") + r""", m as (select file_id, regexp_replace(name, '_[0-9]+$', '') as name, count(distinct lower(regexp_extract(section, '^inputs\.(.*)$', 1))) as n from named where name is not null and regexp_matches(section, '^inputs\.[A-Z][A-Za-z0-9]*$') group by 1, 2 having count(distinct lower(regexp_extract(section, '^inputs\.(.*)$', 1))) >= 2)
+select 'mirrored' as hint, name as key, count(*) as n from m group by name union all select 'gate', key, count(*) from (select regexp_replace(regexp_extract(body, 'under condition (.*\S)', 1), '\$?[0-9][0-9,.]*', '#', 'g') as key from defs) where key <> '' group by key having count(*) >= 3""")
+def k_15(spark: SparkSession, d: str) -> DataFrame:
+    """What speaks for parting or joining modules."""
+    rows = _entries(spark, d).select("file_id", F.lower(C.section_of(F.col("section"))["entity"]).alias("entity"), "name").where("name is not null")
+    return G.module_hints(rows, G.definitions(read_table(spark, d, "documents").where("text is not null")))
+
+
+@query("c_26", """with w as (select distinct entry_name as word from observations where entry_name is not null), t as (select doc_id, text, regexp_matches(text, '§ ?[0-9]|[Ss]ection [0-9]+\\.[0-9]') as cites from documents where text is not null)
+select distinct doc_id, 'citation' as why from t where cites union all select distinct doc_id, 'vocabulary' from (select doc_id, unnest(regexp_split_to_array(text, '[^A-Za-z0-9_]+')) as word from t where not cites) where word in (select word from w)""".replace("\\\\", "\\"))
+def c_26(spark: SparkSession, d: str) -> DataFrame:
+    """Texts that bear on the entries, and why."""
+    words = read_table(spark, d, "observations").where("entry_name is not null").select(F.col("entry_name").alias("word")).distinct()
+    return G.relevant(read_table(spark, d, "documents").where("text is not null"), words)
