@@ -105,14 +105,19 @@ def has_slot(text: Column) -> Column:
 
 
 def messages(documents: DataFrame) -> DataFrame:
-    """(row, masked, words, parts) of the sentences and lines of each text; markup parts them too."""
+    """(row, key, masked, words) of the sentences and lines of each text; markup parts them too. key stands for masked in shuffles."""
     uncoded = F.when(F.col("text").contains("```"), F.regexp_replace("text", r"(?s)```.*?(```|$)", "\n")).otherwise(F.col("text"))
     plain = F.regexp_replace(uncoded, r"(?i)</?(html|head|title|body|h[1-6]|hr|p|div|br|noscript|span|a|ul|li|center)\b[^<>]{0,100}>", "\n")
     plain = F.when(F.col("text").contains("<"), plain).otherwise(uncoded)
     said = F.explode(F.filter(F.split(plain, r"(?U)\n+|\r+|(?<=[.!?。！？])\s+"), lambda x: x.rlike(r"(?U)\w")))
     rows = documents.select("row", said.alias("message")).withColumn("message", F.trim(F.regexp_replace("message", r"(?U)\s+", " ")))
     masked = F.regexp_replace(F.regexp_replace(F.lower("message"), r"/[\w/.-]+", "/path"), r"\b[0-9a-f]*[0-9][0-9a-f]*\b", "<num>")
-    return rows.select("row", masked.alias("masked")).withColumn("words", F.size(F.split("masked", " ")))
+    return rows.select("row", masked.alias("masked")).select("row", _key("masked").alias("key"), "masked", F.size(F.split("masked", " ")).alias("words"))
+
+
+def _key(text: str) -> Column:
+    """Sixteen bytes that stand for a text."""
+    return F.unhex(F.md5(text))
 
 
 def _grown(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -169,27 +174,29 @@ def word_weights(known: DataFrame) -> DataFrame:
 
 
 def verdicts(said: DataFrame) -> DataFrame:
-    """(masked, kind) of the messages whose template is filler, error, or frame (what comes along with error messages).
+    """(key, kind) of the messages whose template is filler, error, or frame (what comes along with error messages).
 
-    said: row, masked, words of all messages. A template that stands mostly alone, and that no seed names, is an error
-    message by its words' mean weight; a template is frame if four of five of its documents are short and have an
-    error message, and there are at least two of them.
+    said: row, key, masked, words of all messages. A template that stands mostly alone, and that no seed names, is an
+    error message by its words' mean weight; a template is frame if four of five of its documents are short and have
+    an error message, and there are at least two of them.
     """
-    mined = materialize(templates(said), "templates")
+    mined = materialize(templates(said).select(_key("masked").alias("key"), _key("template").alias("t"), "template"), "templates")
     lengths = said.groupBy("row").agg(F.sum("words").alias("length"))
-    held = materialize(said.select("row", "masked").distinct().join(lengths, "row").join(mined, "masked").groupBy("template", "row").agg((F.max("length") <= SHORT).alias("short")), "held")
-    known = held.groupBy("template").agg((F.avg(F.col("short").cast("int")) >= ALONE).alias("alone"))
+    uses = said.select("row", "key").distinct().join(mined.select("key", "t"), "key").select("row", "t").distinct()
+    held = materialize(uses.join(lengths.select("row", (F.col("length") <= SHORT).alias("short")), "row"), "held")
+    known = held.groupBy("t").agg((F.avg(F.col("short").cast("int")) >= ALONE).alias("alone"))
     # a generator, so that no template is looked at twice
-    known = materialize(known.select("template", "alone", F.explode(F.array(seeded(F.col("template")))).alias("kind")), "known")
+    known = known.join(mined.select("t", "template").dropDuplicates(["t"]), "t")
+    known = materialize(known.select("t", "template", "alone", F.explode(F.array(seeded(F.col("template")))).alias("kind")), "known")
     weights = materialize(word_weights(known), "weights")
-    asked = known.where("alone and kind is null").select("template", F.size(_words(F.col("template"))).alias("words"), F.explode(_words(F.col("template"))).alias("word"))
-    scored = asked.join(weights, "word").groupBy("template").agg((F.sum("weight") / F.max("words")).alias("mean"), F.sum((F.col("weight") >= MARKED).cast("int")).alias("marks"))
-    learned = scored.where((F.col("mean") >= MARKED) & (F.col("marks") >= MARKS)).select("template", F.lit("error").alias("kind"))
-    named = materialize(known.where("kind is not null").select("template", "kind").unionByName(learned), "named")
-    bad = held.join(named.where("kind = 'error'"), "template", "left_semi").select("row").distinct().withColumn("bad", F.lit(1))
-    along = held.join(named, "template", "left_anti").join(bad, "row", "left").groupBy("template").agg(F.count("*").alias("docs"), F.sum((F.col("bad").isNotNull() & F.col("short")).cast("int")).alias("bad"))
-    frame = along.where("docs >= 2 and bad * 5 >= docs * 4").select("template", F.lit("frame").alias("kind"))
-    return mined.join(named.unionByName(frame), "template").select("masked", "kind")
+    asked = known.where("alone and kind is null").select("t", F.size(_words(F.col("template"))).alias("words"), F.explode(_words(F.col("template"))).alias("word"))
+    scored = asked.join(weights, "word").groupBy("t").agg((F.sum("weight") / F.max("words")).alias("mean"), F.sum((F.col("weight") >= MARKED).cast("int")).alias("marks"))
+    learned = scored.where((F.col("mean") >= MARKED) & (F.col("marks") >= MARKS)).select("t", F.lit("error").alias("kind"))
+    named = materialize(known.where("kind is not null").select("t", "kind").unionByName(learned), "named")
+    bad = held.join(named.where("kind = 'error'"), "t", "left_semi").select("row").distinct().withColumn("bad", F.lit(1))
+    along = held.join(named, "t", "left_anti").join(bad, "row", "left").groupBy("t").agg(F.count("*").alias("docs"), F.sum((F.col("bad").isNotNull() & F.col("short")).cast("int")).alias("bad"))
+    frame = along.where("docs >= 2 and bad * 5 >= docs * 4").select("t", F.lit("frame").alias("kind"))
+    return mined.select("key", "t").join(named.unionByName(frame), "t").select("key", "kind")
 
 
 def _repeats(text: Column) -> Column:
@@ -209,7 +216,7 @@ def residue(documents: DataFrame) -> DataFrame:
     said = materialize(messages(rows), "said")
     found = materialize(verdicts(said), "verdicts")
     few = found.limit(BROADCAST_MESSAGES + 1).count() <= BROADCAST_MESSAGES
-    judged = said.join(F.broadcast(found) if few else found, "masked", "left")
+    judged = said.select("row", "key", "words").join(F.broadcast(found) if few else found, "key", "left")
     count = lambda on: F.sum(F.when(on, F.col("words")).otherwise(0))
     other = F.col("kind").isNull() & (F.col("words") > 3)
     sums = judged.groupBy("row").agg(count(F.col("kind") == "filler").alias("filler_words"), count(F.col("kind") == "error").alias("error_words"), count(other).alias("other_words"))
