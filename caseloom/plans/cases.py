@@ -205,6 +205,8 @@ faults as (select distinct line_id, '' as column_name, case when not fine then '
 good as (select line_id, import_file, module, row_num, f[1] as case_id, f[2] as short_description, f[-2] as tags from (select * from lines where line_id not in (select line_id from faults)) qualify row_number() over (partition by line_id order by import_file) = 1) """
 
 
+registry.ORACLES["p1_found"] = LINES + "select line_id, column_name, reason from faults"
+
 
 def _faults(spark: SparkSession, d: str) -> DataFrame:
     return S.failures(read_table(spark, d, "import_line"), read_table(spark, d, "field_spec"))

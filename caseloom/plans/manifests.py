@@ -155,7 +155,7 @@ t as (select file_id, t.fullkey, t.type from f, json_tree(f.body) t)
 select file_id, regexp_replace(regexp_replace(regexp_replace(fullkey, '^\\$\\.', ''), '\\[[0-9]+\\]', '', 'g'), '"', '', 'g') as key, count(*) as cells from t where type not in ('OBJECT', 'ARRAY', 'NULL') and fullkey not like '%]' group by all""".replace("\\\\", "\\"))
 def c_24(spark: SparkSession, d: str) -> DataFrame:
     """Nested bodies as cells under dotted keys: how many each key has."""
-    found = D.field_values(D.readable(read_table(spark, d, "naming_manifest"))).where("kind in ('string', 'number', 'boolean')")
+    found = D.with_kind(D.field_values(D.readable(read_table(spark, d, "naming_manifest"))).where("path <> ''")).where("kind in ('string', 'number', 'boolean')")
     return found.groupBy("file_id", F.col("path").alias("key")).agg(F.count("*").alias("cells"))
 
 
