@@ -2,7 +2,7 @@
 
 What decides a packing is how many items of each length there are: at most one row per length up to the
 capacity, however many texts lie behind it. The slack search runs on those counts, one small group for each
-capacity. Items find their container by their rank among the items of their length, without gathering.
+capacity; its work grows with the square of the capacity, not with the texts. Items find their container by their rank among the items of their length, without gathering.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from caseloom.llm.transducer import TOKENIZER_DIR, token_counts
 from caseloom.session import materialize
 
-#: Items ranked in one window group, and ranks that one row of a plan covers when items look it up.
-RANK_GROUP, RANK_BLOCK = 200_000, 1024
+#: Items ranked in one window group, ranks that one row of a plan covers when items look it up, and capacities that are
+#: sent to every task.
+RANK_GROUP, RANK_BLOCK, CAPACITIES = 200_000, 1024, 10_000
 
 PLAN = "capacity_id int, length bigint, start bigint, stop bigint, each bigint, container bigint"
 
@@ -88,9 +89,12 @@ def pack(items: DataFrame, capacities: DataFrame) -> DataFrame:
     and a rest that is packed like any other item (``p...``). Items of zero or null tokens, and capacities that
     are null or not positive, give nothing. item_id must be unique.
     """
+    # every item goes into a container of each capacity
+    wanted = capacities.where("capacity > 0").select("capacity_id", "capacity")
+    few = wanted.limit(CAPACITIES + 1).count() <= CAPACITIES
     sized = (
         items.where("tokens > 0")
-        .crossJoin(F.broadcast(capacities.where("capacity > 0").select("capacity_id", "capacity")))
+        .crossJoin(F.broadcast(wanted) if few else wanted)
         .select("capacity_id", "capacity", "item_id", F.expr("tokens div capacity").alias("full"), F.expr("tokens % capacity").alias("length"))
     )
     groups = max(1, -(-items.count() // RANK_GROUP))
