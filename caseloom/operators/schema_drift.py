@@ -77,22 +77,22 @@ def readable(manifests: DataFrame) -> DataFrame:
 
 
 def field_values(objects: DataFrame) -> DataFrame:
-    """(file_id, path, entry, kind, digest): every field of each file, for each entry that has it.
+    """(file_id, path, entry, place, v): every field of each file with its value, for each entry that has it.
 
     Entries are the objects of a list at the top of which some have a name; a path below them is compared entry by
-    entry, whatever their order. At the top the entry is ''. '' as a path has the entries there are. Below lists of
-    objects, a value is digested with its object's place. Objects are gone through level by level; each level reads
+    entry, whatever their order. At the top the entry is ''. '' as a path has the entries there are. place tells
+    the objects of a list apart. Objects are gone through level by level; each level reads
     what the level above it wrote.
     """
     level = objects.select("file_id", F.lit("").alias("prefix"), F.lit("").alias("entry"), F.lit("").alias("place"), F.col("object").alias("m"))
-    parts = [objects.select("file_id", F.lit("").alias("path"), F.lit("").alias("entry"), F.lit("object").alias("kind"), F.lit(0).cast("bigint").alias("digest"))]
+    none = F.lit(None).cast("variant").alias("v")
+    parts = [objects.select("file_id", F.lit("").alias("path"), F.lit("").alias("entry"), F.lit("").alias("place"), none)]
     depth = 0
     while True:
         fields = level.select("file_id", "prefix", "entry", "place", F.explode("m").alias("key", "v")).where(_filled(F.col("v")))
         path = F.when(F.col("prefix") == "", F.col("key")).otherwise(F.concat_ws(".", "prefix", "key"))
         told = fields.select("file_id", path.alias("path"), "entry", "place", "v", (F.col("prefix") == "").alias("top"))
-        said = told.withColumn("json", F.to_json("v"))
-        parts.append(said.select("file_id", "path", "entry", _kind(F.col("v"), F.col("json")).alias("kind"), F.xxhash64("place", "json").alias("digest")))
+        parts.append(told.select("file_id", "path", "entry", "place", "v"))
         held = told.withColumn("inner", _objects(F.col("v"))).where(F.size("inner") > 0)
         named = F.col("top") & _as(F.col("v"), _LIST).isNotNull() & F.exists("inner", lambda o: entry_name(o).isNotNull())
         below = held.select("file_id", "path", "entry", "place", named.alias("named"), F.posexplode("inner").alias("at", "m"))
@@ -102,7 +102,7 @@ def field_values(objects: DataFrame) -> DataFrame:
                 F.when(F.col("named"), "").otherwise(F.concat_ws(".", "place", F.lpad(F.col("at").cast("string"), 9, "0"))).alias("place"), "m",
             ), f"level-{depth}",
         )
-        parts.append(level.where("named").select("file_id", F.lit("").alias("path"), "entry", F.lit("object").alias("kind"), F.lit(0).cast("bigint").alias("digest")))
+        parts.append(level.where("named").select("file_id", F.lit("").alias("path"), "entry", F.lit("").alias("place"), none))
         if level.isEmpty():
             break
         depth += 1
@@ -112,22 +112,21 @@ def field_values(objects: DataFrame) -> DataFrame:
     return out
 
 
+def with_kind(values: DataFrame) -> DataFrame:
+    return values.withColumn("kind", F.when(F.col("v").isNull(), "object").otherwise(_kind(F.col("v"), F.to_json("v"))))
+
+
 def field_catalogue(manifests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(files, fields, values): the readable files, numbered by (committed_at, file_id) within each program; their
-    fields (path, kind); and the digest of each field for each entry. See readable for what counts."""
+    fields (path, kind); and the values of the fields, as field_values gives them. See readable for what counts."""
     objects = readable(manifests)
-    found = field_values(objects)
-    of_entry = found.groupBy("file_id", "path", "entry").agg(
-        F.collect_set("kind").alias("kinds"), F.xxhash64(F.bit_xor("digest"), F.count("*"), F.sum(F.col("digest").bitwiseAND(F.lit(0xFFFFFFFF)))).alias("digest")
-    )
-    values = materialize(of_entry, "values")
+    values = field_values(objects)
     files = materialize(numbered(objects.select("file_id", "program", "committed_at"), ["program"], ["committed_at", "file_id"]), "files")
     # an empty list fits any list
-    kinds = F.array_sort(F.array_distinct(F.flatten(F.collect_set("kinds"))))
-    named = F.filter("kinds", lambda k: (k != "list") | ~F.exists("kinds", lambda x: x.startswith("list of")))
-    per_file = values.groupBy("file_id", "path").agg(kinds.alias("kinds")).select("file_id", "path", F.array_join(named, " or ").alias("kind"))
-    places = files.select("file_id", "program", "nth", "of")
-    return files, per_file.join(places, "file_id"), values.select("file_id", "path", F.col("entry").alias("name"), "digest").join(places.drop("of"), "file_id")
+    kinds = F.array_sort("kinds")
+    named = F.filter(kinds, lambda k: (k != "list") | ~F.exists("kinds", lambda x: x.startswith("list of")))
+    per_file = with_kind(values).groupBy("file_id", "path").agg(F.collect_set("kind").alias("kinds")).select("file_id", "path", F.array_join(named, " or ").alias("kind"))
+    return files, materialize(per_file.join(files.select("file_id", "program", "nth", "of"), "file_id"), "fields"), values
 
 
 def _neighbours(fields: DataFrame) -> DataFrame:
@@ -158,17 +157,32 @@ def _parent(path: Column) -> Column:
     return F.when(path.contains("."), F.regexp_replace(path, r"\.[^.]*$", "")).otherwise("")
 
 
-def _renames(events: DataFrame, values: DataFrame) -> DataFrame:
+#: Places at which fields are compared that are sent to every task; more are joined by shuffle.
+BROADCAST_PLACES = 200_000
+
+
+def _renames(events: DataFrame, files: DataFrame, values: DataFrame) -> DataFrame:
     """(program, nth, old_field, new_field): an end and a start in one place whose values agree in all entries held by
-    both files, at least one of which has the field. Of several that agree, the first by name go together."""
+    both files, at least one of which has the field. Of several that agree, the first by name go together.
+
+    Only the values of fields that end or start beside each other are digested.
+    """
     moved = events.where("change <> 'type_changed'").withColumn("parent", _parent(F.col("path")))
     both = moved.groupBy("program", "nth", "parent").agg(F.count_distinct("change").alias("n")).where("n = 2").drop("n")
-    asked = moved.join(both, ["program", "nth", "parent"])
     at = F.when(F.col("change") == "added", F.col("nth")).otherwise(F.col("nth") - 1)
-    asked_values = asked.withColumn("at", at).join(values.select("program", F.col("nth").alias("at"), "path", "name", "digest"), ["program", "at", "path"])
-    held = values.where("path = ''").select("program", "nth", "name")
+    ids = files.select("program", F.col("nth").alias("at"), "file_id")
+    asked = materialize(moved.join(both, ["program", "nth", "parent"]).withColumn("at", at).join(ids, ["program", "at"]).drop("at"), "asked")
+    sent = lambda df: F.broadcast(df) if df.limit(BROADCAST_PLACES + 1).count() <= BROADCAST_PLACES else df
+    told = values.join(sent(asked), ["file_id", "path"])
+    digest = F.xxhash64("place", F.to_json("v"))
+    keys = ["program", "nth", "parent", "change", "path", F.col("entry").alias("name")]
+    hashed = told.select(*keys, digest.alias("digest")).groupBy("program", "nth", "parent", "change", "path", "name")
+    asked_values = hashed.agg(F.xxhash64(F.bit_xor("digest"), F.count("*"), F.sum(F.col("digest").bitwiseAND(F.lit(0xFFFFFFFF)))).alias("digest"))
+    # the entries that both the file and the one before it hold
     wanted = both.select("program", "nth").distinct()
-    common = held.join(wanted, ["program", "nth"], "left_semi").join(held.withColumn("nth", F.col("nth") + 1), ["program", "nth", "name"], "left_semi")
+    sides = wanted.select("program", "nth", F.explode(F.array(F.col("nth"), F.col("nth") - 1)).alias("at")).join(ids, ["program", "at"])
+    held = values.where("path = ''").select("file_id", F.col("entry").alias("name")).distinct().join(sent(sides), "file_id")
+    common = held.groupBy("program", "nth", "name").agg(F.count_distinct("at").alias("n")).where("n = 2").select("program", "nth", "name")
     shared = asked_values.join(common, ["program", "nth", "name"], "left_semi")
     signed = shared.groupBy("program", "nth", "parent", "change", "path").agg(F.bit_xor(F.xxhash64("name", "digest")).alias("signature"), F.count("*").alias("entries"))
     turn = Window.partitionBy("program", "nth", "parent", "signature", "entries", "change").orderBy("path")
@@ -179,7 +193,7 @@ def _renames(events: DataFrame, values: DataFrame) -> DataFrame:
 
 def _changes(files: DataFrame, fields: DataFrame, values: DataFrame) -> DataFrame:
     events = materialize(_events(fields), "events")
-    renamed = materialize(_renames(events, values), "renames")
+    renamed = materialize(_renames(events, files, values), "renames")
     gone = renamed.select("program", "nth", F.lit("removed").alias("change"), F.col("old_field").alias("path")).unionByName(
         renamed.select("program", "nth", F.lit("added").alias("change"), F.col("new_field").alias("path"))
     )
